@@ -89,15 +89,17 @@ class WordHasher:
     """64-bit hashes of the words of many texts at once.
 
     Words are the longest runs of bytes for which `separator` is false. A word's hash is a
-    polynomial in an odd base over random numbers of its bytes, mixed at the end; A-Z count as a-z.
+    polynomial in an odd base over random numbers of its bytes, mixed at the end; with `fold` A-Z
+    count as a-z.
     """
 
     BASE, INVERSE = 0x9E3779B97F4A7C13, pow(0x9E3779B97F4A7C13, -1, 1 << 64)
 
-    def __init__(self, separator: np.ndarray):
+    def __init__(self, separator: np.ndarray, fold: bool = True):
         self.separator = separator
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        self.value[ord("A") : ord("Z") + 1] = self.value[ord("a") : ord("z") + 1]
+        if fold:
+            self.value[ord("A") : ord("Z") + 1] = self.value[ord("a") : ord("z") + 1]
         self.value[separator] = 0
         self._powers(STEP_BYTES)
 

@@ -152,16 +152,12 @@ def token_starts(chars: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
         start[quote[some] + 1] = False
         behind = quote[some] + np.where(one[some], 2, 3)
         start[behind[behind < n]] = True
-        # What follows is a blank or starts with one only where the rules above have it so.
-        at = behind[behind < n]
-        start[at] = True
     return np.flatnonzero(start)
 
 
 def counter(merges: Merges, most_known: int = 1_000_000):
     """A function that gives the token count of each text of a column; it remembers pre-tokens by their hash."""
-    hasher = WordHasher(np.zeros(256, bool))
-    hasher.value[:] = WordHasher(np.ones(256, bool)).value + np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+    hasher = WordHasher(np.zeros(256, bool), fold=False)
     known, known_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
