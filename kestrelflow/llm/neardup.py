@@ -7,8 +7,10 @@ What may be similar is settled on the full sets.
 
 Equal sets collapse first. In each band bucket all members are compared with one member only, so a
 bucket of any size makes as many pairs as it has rows. After the components of the links found are
-known, a second pass compares members of the same bucket that lie in different components and whose
-count of shingles found nowhere else leaves room for a link. So no link within a bucket is lost.
+known, buckets that still hold several meet their best linked member; then a last pass compares
+members of one bucket that lie in different components and whose
+count of shingles found nowhere else, and a finer signature, leave room for a link. So no link within
+a bucket is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from kestrelflow.llm.common import (
 from kestrelflow.llm.components import connected_components
 
 BITS = 2
+#: Minima in the finer signatures of the second pass, which only documents of mixed buckets get.
+FINER = 1280
 
 
 def shingle_sets(column: pa.Array, size: int, hasher: WordHasher):
@@ -181,13 +185,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = settled(confirmed(tried, texts, shingle, percent))
     known = settled(connected_components(links))
 
-    # The second pass: buckets that hold several components.
-    labelled = shared.select("key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = settled(labelled.select("key", "rep", F.coalesce("component", "rep").alias("label")))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_rows = settled(labelled.join(mixed.select("key"), "key"))
-    lone = _lone_shingles(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
-    room = reps.join(lone, reps.rep == lone.doc_id, "left").select("rep", "n", "bands", "sig", F.coalesce("lone", F.lit(0)).alias("lone"))
+    # Buckets that hold several components meet their best linked member next, then each other's members.
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    open_rows = _mixed(shared, known).join(degree, "rep", "left")
+    hub = F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("rep")))
+    hubs = open_rows.groupBy("key").agg(hub.alias("hub"))
+    second = open_rows.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    second = settled(second.distinct().join(tried, ["a", "b"], "left_anti"))
+    links = settled(links.unionByName(confirmed(second, texts, shingle, percent)))
+    tried = tried.unionByName(second)
+    open_rows = settled(_mixed(shared, settled(connected_components(links))))
+    open_texts = stored(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-open")
+    lone = _lone_shingles(open_texts, shingle).withColumnRenamed("doc_id", "rep")
+    finer = signatures(open_texts, shingle, 1, FINER).select(F.col("doc_id").alias("rep"), F.col("sig").alias("fine"), "n")
+    room = reps.join(finer, ["rep", "n"]).join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     open_rows = open_rows.join(room, "rep").where(F.col("n") - F.col("lone") >= ratio * F.col("n"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     most = F.least(F.expr("x.n - x.lone"), F.expr("y.n - y.lone"))
@@ -196,6 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         F.expr("x.key = y.key and x.rep < y.rep and x.label <> y.label")
         & (100 * most >= percent * (F.expr("x.n + y.n") - most))
         & (estimated(F.col("x.sig"), F.col("y.sig"), bands * rows) >= least)
+        & (estimated(F.col("x.fine"), F.col("y.fine"), FINER) >= least_estimate(percent / 100, FINER))
         & F.expr("x.key = array_intersect(x.bands, y.bands)[0]"),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = settled(confirmed(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
@@ -205,6 +217,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, rep, label) of the buckets whose members lie in several components so far."""
+    labelled = shared.select("key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return labelled.join(mixed.select("key"), "key")
+
+
 def _lone_shingles(texts: DataFrame, size: int) -> DataFrame:
     """(doc_id, lone): how many of a text's shingles are in no other of these texts."""
 

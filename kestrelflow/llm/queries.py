@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelflow.llm import chat, neardup, tokens, urls
+from kestrelflow.llm import chat, decontam, lines, neardup, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand on more than 5 % of their source's documents."""
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"), host="source", percent=5, least_pages=3)
+    return out.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+LINES_SQL = """
+WITH each AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
+), totals AS (
+  SELECT source, count(*) AS total FROM documents GROUP BY source
+), drops AS (
+  SELECT e.source, e.line FROM (SELECT DISTINCT doc_id, source, line FROM each WHERE line <> '') e
+  JOIN totals t ON e.source IS NOT DISTINCT FROM t.source
+  GROUP BY e.source, e.line, t.total HAVING count(*) >= 3 AND 100 * count(*) > 5 * t.total
+), kept AS (
+  SELECT e.doc_id, string_agg(CASE WHEN d.line IS NULL THEN e.line END, chr(10) ORDER BY pos) AS text,
+    count(*) FILTER (WHERE e.line <> '') AS n_lines, count(d.line) AS n_dropped
+  FROM each e LEFT JOIN drops d ON e.source IS NOT DISTINCT FROM d.source AND e.line = d.line GROUP BY e.doc_id
+)
+SELECT o.doc_id, o.source, CASE WHEN o.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+  coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
+FROM documents o LEFT JOIN kept k USING (doc_id)
+"""
+
+
 #: The rules this query is asked for.
 SITE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -96,17 +122,25 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its edits and place."""
+    return decontam.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_line_dedup": op2_line_dedup,
         "op4_url_filter": op4_url_filter,
         "op7_token_counts": op7_token_counts,
         "op9_near_dedup": op9_near_dedup,
+        "op10_decontam": op10_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": CHAT_SQL,
+        "op2_line_dedup": LINES_SQL,
         "op4_url_filter": URL_SQL,
     }

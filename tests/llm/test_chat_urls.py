@@ -4,7 +4,7 @@ from kestrelflow.llm import chat, queries, urls
 from tests.oracle import connect, same
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op4_url_filter"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_line_dedup", "op4_url_filter"])
 def test_as_sql(spark, sf_dir, name):
     assert same(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name]) > 0
 
