@@ -5,20 +5,57 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kestrelflow.llm import toxicity
 from kestrelflow.llm.common import shared_dir
+from kestrelflow.llm.decontam import drop_contaminated
+from kestrelflow.llm.lines import drop_boilerplate
+from kestrelflow.llm.mixing import mix_sources
 from kestrelflow.llm.neardup import near_duplicates
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on labelled ones among them, scores 0.5 or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than 5 % of a source's documents go; n_chars follows the text, no document goes."""
+    out = drop_boilerplate(docs, host="source", percent=5, least_pages=3)
+    out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Rows without an id stay; of rows with one id, one stays.
+    """
     kept = near_duplicates(docs, shingle=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its position in the mix; sources weigh as the square roots of their sizes."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("mixing", source_mixing),
+]
 
-#: The stages fit models and search neighbours, which SQL cannot express; tests compare them with brute force.
+#: The stages fit a model and search for neighbours, which SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
 

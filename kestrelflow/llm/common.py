@@ -41,6 +41,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def shared(spark: SparkSession, thing) -> Callable:
+    """A function that gives tasks this object: its attributes are broadcast, its class travels with the function."""
+    held, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    def get():
+        own = object.__new__(kind)
+        own.__dict__.update(held.value)
+        return own
+
+    return get
+
+
 def arrow_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import steps, utf8
+from kestrelflow.llm.align import banded_edits
+from kestrelflow.llm.common import shared, steps, utf8
 
 #: Characters of benchmark text that one broadcast index holds; more is searched in several passes.
 BLOCK_CHARS = 8_000_000
@@ -132,8 +133,10 @@ class Index:
         row, item, band = row[enough], item[enough], band[enough]
         if not len(row):
             return none
-        found = self._aligned(chars, first, row, item, band)
-        row, item, edits, start, end = (x[found[2] <= self.edits[found[1]]] for x in found)
+        k = self.edits[item]
+        low = band * (k + 1) - k  # the lowest diagonal looked at
+        found = row, item, *banded_edits(chars, first, row, low, 4 * k + 2, self.chars, self.first[item], self.size[item])
+        row, item, edits, start, end = (x[found[2] <= k] for x in found)
         order = np.lexsort((start, edits, item, row))
         row, item, edits, start, end = (x[order] for x in (row, item, edits, start, end))
         best = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])) if len(row) else np.zeros(0, bool)
@@ -141,46 +144,6 @@ class Index:
         begin = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets][row]
         return row, item, edits, place[first[row] + start] - begin, place[first[row] + np.maximum(end, start + 1) - 1] + 1 - begin
 
-    def _aligned(self, chars, first, row, item, band):
-        """The least edits of each item against its region, with the region's start and end in the text."""
-        order = np.argsort(self.size[item], kind="stable")
-        row, item, band = row[order], item[order], band[order]
-        result = [np.zeros(len(row), np.int64) for _ in range(3)]
-        for a in range(0, len(row), 256):
-            part = slice(a, a + 256)
-            self._align(chars, first, row[part], item[part], band[part], [r[part] for r in result])
-        return row, item, *result
-
-    def _align(self, chars, first, row, item, band, out):
-        k, size = self.edits[item], self.size[item]
-        width = int((4 * k + 2).max())
-        offset = np.arange(width)
-        low = band * (k + 1) - k  # the lowest diagonal looked at
-        beyond = np.int64(1) << 60
-        # A cell holds edits * 2**20 + the diagonal at which the alignment began.
-        unit = np.int64(1) << 20
-        start = low[:, None] + offset
-        length = (first[row + 1] - first[row])[:, None]
-        cell = np.where((start >= 0) & (start <= length), offset[None, :], beyond)
-        base = first[row][:, None]
-        for i in range(int(size.max())):
-            j = start + i  # the text character that diagonal `offset` pairs with item character i
-            there = (j >= 0) & (j < length)
-            text = chars[np.where(there, base + j, 0)]
-            letter = self.chars[np.minimum(self.first[item] + i, len(self.chars) - 1)][:, None]
-            new = np.where(there, cell + np.where(text == letter, 0, unit), beyond)
-            # Without the item's character: the diagonal one above, in the text's place j, which may be its end.
-            np.minimum(new[:, :-1], np.where(cell[:, 1:] < beyond, cell[:, 1:] + unit, beyond), out=new[:, :-1])
-            # With text characters between: from the diagonals below.
-            new = np.minimum.accumulate(new - offset * unit, axis=1) + offset * unit
-            new = np.where((j + 1 >= 0) & (j + 1 <= length), new, beyond)
-            cell = new
-            for r in np.flatnonzero(size == i + 1):
-                best = int(np.argmin(cell[r]))
-                out[0][r] = cell[r, best] >> 20
-                out[1][r] = low[r] + (cell[r, best] & (unit - 1))
-                out[2][r] = low[r] + best + i + 1
-
 
 def indexes(benchmark: DataFrame, q: int, rate: float):
     """The benchmark as broadcast indexes of bounded size: one, or for a large benchmark several."""
@@ -191,7 +154,7 @@ def indexes(benchmark: DataFrame, q: int, rate: float):
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = sorted(block.collect(), key=lambda r: (str(r.item_id), r.text))
-        yield spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], q, rate))
+        yield shared(spark, Index([r.item_id for r in rows], [r.text for r in rows], q, rate))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.06) -> DataFrame:
@@ -209,7 +172,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0
     for index in indexes(benchmark, q, rate):
 
         def run(batches, index=index):
-            shape, own = Characters(), index.value
+            shape, own = Characters(), index()
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
                 for i, j in steps(offsets, STEP):
@@ -232,7 +195,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate:
     for index in indexes(benchmark, q, rate):
 
         def run(batches, index=index):
-            shape, own = Characters(), index.value
+            shape, own = Characters(), index()
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
                 clean = np.ones(batch.num_rows, bool)

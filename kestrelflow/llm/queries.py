@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelflow.llm import chat, decontam, lines, neardup, tokens, urls
+from kestrelflow.llm import ann, chat, decontam, licenses, lines, mixing, neardup, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ FROM documents o LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 #: The rules this query is asked for.
 SITE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -109,6 +114,16 @@ FROM ruled
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix of the sources by the square roots of their sizes."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the 50k byte-level vocabulary."""
     import public_tokenizers
@@ -116,6 +131,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 85 % of their distinct three-word runs."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -131,8 +152,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_line_dedup": op2_line_dedup,
+        "op3_nearest": op3_nearest,
         "op4_url_filter": op4_url_filter,
+        "op5_license_scan": op5_license_scan,
+        "op6_mix_sources": op6_mix_sources,
         "op7_token_counts": op7_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_decontam": op10_decontam,
     }

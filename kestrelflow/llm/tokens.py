@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import WordHasher, arrow_rows, steps, utf8
+from kestrelflow.llm.common import WordHasher, shared, steps, utf8
 
 NONE = np.iinfo(np.int32).max
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -222,10 +222,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     `vocabulary` is a path on the driver; its arrays, of a fixed size, are broadcast. Null texts
     count as empty: 0 bytes, 0 tokens. doc_id may be null; other columns are ignored.
     """
-    merges = docs.sparkSession.sparkContext.broadcast(Merges(vocabulary))
+    merges = shared(docs.sparkSession, Merges(vocabulary))
 
     def run(batches):
-        count = counter(merges.value)
+        count = counter(merges())
         for batch in batches:
             text = pc.fill_null(batch.column("text"), "")
             n = pa.array(count(text), pa.int64())
