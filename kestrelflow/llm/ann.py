@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from kestrelflow.llm.common import settled, shared
 
-BOOKS, WORDS, BEAM = 8, 128, 4
+BOOKS, WORDS, BEAM = 16, 128, 4
 #: Codebooks are learnt on so many vectors at most, those with the least hash; every vector is indexed.
 MOST_LEARNT = 8192
 #: Vectors and queries of one block, and how many of a block's vectors are ranked again for a query.
-BLOCK, QUERIES, AGAIN = 16384, 2048, 192
+BLOCK, QUERIES, AGAIN = 16384, 2048, 256
 
 
 class Codebooks:
