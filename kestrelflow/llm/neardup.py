@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         for s in shingle_sets(batch.column("text"), size, hasher):
             held.append(s)
             count += len(s)
-            if count > 40_000:
+            if count > 40_000 or len(held) * len(factors) > 200_000:
                 flush(held)
                 held, count = [], 0
         if held:
