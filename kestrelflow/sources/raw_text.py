@@ -15,9 +15,10 @@ class InvalidTelemetry(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file; line numbers need one task a file, and telemetry files are small by nature."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return lines.select((F.col("line") + 1).cast("long").alias("line"), "value")
+    """(block, line, value) of a text file; (block, line) is the order of its lines. The file may be split."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
 
 
 def fields_of(value: Column) -> Column:
@@ -29,7 +30,8 @@ def parse_lines(lines: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
     split = lines.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("_f", fields_of(F.col("value")))
     number = lambda i: F.get("_f", F.lit(i)).try_cast("double")
     ints = [F.when(is_whole(number(i)), number(i)).try_cast("int").alias(n) for i, n in enumerate(names[:2])]
-    return split.select("line", *ints, *(number(i).alias(n) for i, n in enumerate(names[2:], 2)))
+    block = F.col("block") if "block" in lines.columns else F.floor(F.col("line") / 65536)
+    return split.select(block.alias("block"), "line", *ints, *(number(i).alias(n) for i, n in enumerate(names[2:], 2)))
 
 
 def line_violations(lines: DataFrame, width: int = len(FIELDS), units: int = 100) -> DataFrame:
@@ -58,14 +60,13 @@ def sequence_violations(rows: DataFrame) -> DataFrame:
 
 
 def order_violations(parsed: DataFrame) -> DataFrame:
-    """(line, rule): lines whose unit is less than the line before has. One file's line order is one sequence,
-    so the units are compared at the borders of ranges of lines, each range in a task of its own."""
-    ranged = parsed.select("line", "unit", F.floor(F.col("line") / 65536).alias("part"))
-    inner = Window.partitionBy("part").orderBy("line")
-    inside = ranged.withColumn("before", F.lag("unit").over(inner)).where("unit < before").select("line")
-    edges = ranged.groupBy("part").agg(F.min_by("unit", "line").alias("first"), F.min("line").alias("line"), F.max_by("unit", "line").alias("last"))
-    previous = edges.select((F.col("part") + 1).alias("part"), F.col("last").alias("before"))
-    return inside.unionByName(edges.join(previous, "part").where("first < before").select("line")).withColumn("rule", F.lit("order"))
+    """(line, rule): lines whose unit is less than the line before has. Each block of lines is looked at
+    by itself; the blocks' first and last lines, one row a block, then meet in order."""
+    inner = Window.partitionBy("block").orderBy("line")
+    inside = parsed.withColumn("before", F.lag("unit").over(inner)).where("unit < before").select("line")
+    edges = parsed.groupBy("block").agg(F.min_by("unit", "line").alias("first"), F.min("line").alias("line"), F.max_by("unit", "line").alias("last"))
+    edges = edges.withColumn("before", F.lag("last").over(Window.orderBy("block")))
+    return inside.unionByName(edges.where("first < before").select("line")).withColumn("rule", F.lit("order"))
 
 
 def fleet_violations(parsed: DataFrame, units: int = 100) -> DataFrame:
@@ -94,4 +95,4 @@ def read_strict(spark: SparkSession, path: str, units: int = 100, whole_fleet: b
     enforce(sequence_violations(rows), "order of cycles")
     if whole_fleet:
         enforce(fleet_violations(rows, units), "units")
-    return rows.drop("line", "op_setting_1", "op_setting_2", "op_setting_3")
+    return rows.drop("block", "line", "op_setting_1", "op_setting_2", "op_setting_3")
