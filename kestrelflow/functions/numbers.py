@@ -27,7 +27,7 @@ def answer_number(text: Column) -> Column:
 
 
 def signed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%+.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%+.{digits}f", x))
 
 
 def significant(x: Column, digits: int = 4) -> Column:

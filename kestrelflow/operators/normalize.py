@@ -51,7 +51,11 @@ def transform(windows: DataFrame, stats: DataFrame, channels: Sequence[str]) ->
     missing = [c for c in channels if c not in by]
     if missing:
         raise ValueError(f"no statistics of {missing}")
-    arrays = [F.transform(F.col("series")[c], lambda x, c=c: ((x - by[c][0]) / by[c][1]).cast("float")).alias(c) for c in channels]
+    def normal(channel: str) -> Column:
+        mean, scale = by[channel]
+        return F.transform(F.col("series")[channel], lambda x: ((x - mean) / scale).cast("float")).alias(channel)
+
+    arrays = map(normal, channels)
     return windows.withColumn("normal", F.struct(*arrays))
 
 

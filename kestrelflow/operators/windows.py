@@ -42,7 +42,7 @@ def strided_windows(rows: DataFrame, channels: Sequence[str], size: int = 30, st
     frame = Window.partitionBy("unit").orderBy("cycle").rowsBetween(1 - size, 0)
     framed = with_life(rows).withColumn("_frame", F.collect_list(F.struct(*channels)).over(frame))
     ends = framed.where(is_window_end(size, stride) & (F.size("_frame") == size))
-    series = F.struct(*(F.transform("_frame", lambda r, c=c: r[c]).alias(c) for c in channels))
+    series = F.struct(*(F.col("_frame")[c].alias(c) for c in channels))
     keep = ["split"] if "split" in rows.columns else []
     return ends.select("unit", "cycle", (F.col("cycle") - size + 1).alias("window_start"), "rul", *keep, series.alias("series"))
 
