@@ -54,7 +54,7 @@ Predictor = Callable[[pd.DataFrame], np.ndarray]
 def predict_batches(rows: DataFrame, make: Callable[[], Predictor], keys: Sequence[str], batch: int = 16) -> DataFrame:
     """(keys, prediction): a predictor, made once a task, called on batches of at most `batch` rows.
 
-    What it returns is clipped at 0; NaN says that it failed.
+    What it returns is clipped at 0; NaN says that it failed, and comes out as null.
     """
     if type(batch) is not int or batch < 1:
         raise ValueError("batch must be a positive whole number")

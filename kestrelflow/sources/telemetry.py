@@ -31,10 +31,12 @@ def fleet_split(unit: Column) -> Column:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(unit, cycle, channels, split) of events: a user's events in order of time are a unit's cycles."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # Windows go by unit as it is given out, so that later ones by unit need no shuffle of their own.
+    k = F.get_json_object("props", "$.k").cast("double").alias("k")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("int").alias("unit"), "value", k)
+    by_time = Window.partitionBy("unit").orderBy("ts", "event_id")
     return events.select(
-        F.col("user_id").cast("int").alias("unit"),
+        "unit",
         F.row_number().over(by_time).alias("cycle"),
         (F.col("value") - F.col("k")).alias("sensor_3"),
         F.col("value").alias("sensor_4"),
@@ -42,5 +44,5 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").alias("sensor_11"),
         (F.col("value") / (F.col("k") + 1)).alias("sensor_15"),
         F.lit(1.0).alias("sensor_1"),
-        split_by_digit(F.col("user_id")).alias("split"),
+        split_by_digit(F.col("unit")).alias("split"),
     )
