@@ -23,7 +23,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")  # repeated links do no harm here
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settled(hung.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())

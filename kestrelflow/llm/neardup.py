@@ -6,11 +6,10 @@ estimate the similarity of a pair from bit counts, corrected for chance agreemen
 What may be similar is settled on the full sets.
 
 Equal sets collapse first. In each band bucket all members are compared with one member only, so a
-bucket of any size makes as many pairs as it has rows. After the components of the links found are
-known, buckets that still hold several meet their best linked member; then a last pass compares
-members of one bucket that lie in different components and whose
-count of shingles found nowhere else, and a finer signature, leave room for a link. So no link within
-a bucket is lost.
+bucket of any size makes as many pairs as it has rows. Buckets with members not linked to that one
+meet their best linked member too. Then a last pass compares members of one bucket that lie in
+different components and whose count of shingles found nowhere else, and a finer signature, leave
+room for a link. So no link within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -160,14 +159,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     full = signed.where("n > 0 and doc_id is not null")
     ratio, least = percent / 100, least_estimate(percent / 100, bands * rows)
 
-    sets = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
-    same = full.select("doc_id", "set_a", "set_b", "n").join(sets, ["set_a", "set_b", "n"])
+    # Equal sets have equal bands and signatures, so any of them will do.
+    one = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    one = settled(one)
+    same = full.select("doc_id", "set_a", "set_b", "n").join(one.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"])
     same = settled(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    reps = settled(
-        full.join(sets.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "n", "doc_id"])
-        .dropDuplicates(["set_a", "set_b", "n", "doc_id"])
-        .select(F.col("doc_id").alias("rep"), "n", "bands", "sig")
-    )
+    reps = one.select("rep", "n", "bands", "sig")
 
     members = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
     buckets = members.groupBy("key").agg(F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"))
@@ -175,26 +172,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     traits = reps.select("rep", "n", "sig")
     texts = stored(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-texts")
 
-    tried = shared.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    paired = shared.where("rep <> pivot").select("key", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    tried = paired.select("a", "b").distinct()
     for end in ("a", "b"):
         tried = tried.join(traits.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
     near = (F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")) & (
         estimated(F.col("sig_a"), F.col("sig_b"), bands * rows) >= least
     )
-    tried = settled(tried.where(near).select("a", "b").distinct())
+    tried = settled(tried.where(near).select("a", "b"))
     links = settled(confirmed(tried, texts, shingle, percent))
-    known = settled(connected_components(links))
 
-    # Buckets that hold several components meet their best linked member next, then each other's members.
+    # Where a member isn't linked to the pivot, the bucket meets its best linked member.
+    unsettled = paired.join(links, ["a", "b"], "left_anti").select("key").distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-    open_rows = _mixed(shared, known).join(degree, "rep", "left")
-    hub = F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("rep")))
-    hubs = open_rows.groupBy("key").agg(hub.alias("hub"))
+    open_rows = shared.select("key", "rep").join(unsettled, "key").join(degree, "rep", "left").select("key", "rep", F.coalesce("degree", F.lit(0)).alias("degree"))
+    open_rows = open_rows.repartition("key")
+    hubs = open_rows.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("hub"))
     second = open_rows.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     second = settled(second.distinct().join(tried, ["a", "b"], "left_anti"))
     links = settled(links.unionByName(confirmed(second, texts, shingle, percent)))
     tried = tried.unionByName(second)
-    open_rows = settled(_mixed(shared, settled(connected_components(links))))
+
+    # What is left: members of one bucket in different components.
+    known = settled(connected_components(links))
+    open_rows = settled(_mixed(shared, known))
     open_texts = stored(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-open")
     lone = _lone_shingles(open_texts, shingle).withColumnRenamed("doc_id", "rep")
     finer = signatures(open_texts, shingle, 1, FINER).select(F.col("doc_id").alias("rep"), F.col("sig").alias("fine"), "n")
@@ -212,7 +213,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = settled(confirmed(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
 
-    components = connected_components(same.unionByName(links).unionByName(rest))
+    stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    components = connected_components(same.unionByName(stars).unionByName(rest))
     out = signed.join(components, signed.doc_id == components.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
