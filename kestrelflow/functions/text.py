@@ -108,7 +108,12 @@ def with_prefix(mask: Column, labels: Column, prefix: int, ignore: int = -100) -
     return F.concat(F.array_repeat(F.lit(1), prefix), mask), F.concat(F.array_repeat(F.lit(ignore), prefix), labels)
 
 
-def word_ids(text: Column, first: int = 10) -> Column:
-    """Ids of the words between white space, in order of first appearance within the text."""
+def word_ids(text: Column, first: int = 10, most: int | None = None) -> Column:
+    """Ids of the words between white space, in order of first appearance within the text.
+
+    With `most`, texts of more words get as many zeros instead: they are too long for use, and their
+    number of words is all that tells so.
+    """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: (F.array_position(F.array_distinct(words), w) + first - 1).cast("int"))
+    ids = lambda: F.transform(words, lambda w: (F.array_position(F.array_distinct(words), w) + first - 1).cast("int"))
+    return ids() if most is None else F.when(F.size(words) <= most, ids()).otherwise(F.array_repeat(F.lit(0), F.size(words)))

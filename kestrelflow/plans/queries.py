@@ -636,7 +636,7 @@ SELECT doc_id, n + 4 <= 64 AS fits, CASE WHEN n + 4 <= 64 THEN CAST(64 AS INTEGE
 def token_mask_pad(spark, sf_dir):
     """Documents as prompts with a two-word response, padded to 64; longer ones don't fit and are never cut."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    m = d.select("doc_id", T.masked_tokens(T.word_ids(F.col("text")), F.array(F.lit(98), F.lit(99)), 64).alias("m"))
+    m = d.select("doc_id", T.masked_tokens(T.word_ids(F.col("text"), most=64), F.array(F.lit(98), F.lit(99)), 64).alias("m"))
     count = lambda a, v: F.size(F.filter(a, v))
     fits = F.col("m.fits")
     return m.select(
