@@ -32,7 +32,7 @@ IDENTITY_TERMS = (
 DIMENSIONS_BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Training takes so many labelled rows of either class at most, those with the least hash of their id.
-MOST_ROWS = {1: 3000, 0: 6000}
+MOST_ROWS = {1: 2000, 0: 4000}
 MOST_FEATURES = 1 << 15
 
 
@@ -144,12 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST_ROWS, pe
             )
 
     rows = sample(docs, labels, most).mapInArrow(run, "doc_id long, version int, toxic int, ids array<int>")
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("version", "ascending")])
-    column = got.column("ids").combine_chunks()
-    return train(
-        column.values.to_numpy()[column.offsets[0].as_py() :].astype(np.int64), np.diff(column.offsets.to_numpy()),
-        got.column("toxic").to_numpy(), got.column("version").to_numpy(), penalty,
-    )
+    got = rows.toArrow()
+    order = np.lexsort((got.column("version").to_numpy(), got.column("doc_id").to_numpy()))
+    toxic, version = got.column("toxic").to_numpy()[order], got.column("version").to_numpy()[order]
+    column = got.column("ids").combine_chunks().take(pa.array(order))
+    ids, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+    model = train(ids, sizes, toxic, version, penalty)
+    del got, column, ids
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def train(ids: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, version: np.ndarray, penalty: float, rounds: int = 300) -> Model:
@@ -157,15 +160,14 @@ def train(ids: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, version: np.nda
 
     Rows with version 0 are labelled texts; those after one with version > 0 are its swapped versions.
     """
-    row = np.repeat(np.arange(len(sizes)), sizes)
     plain = version == 0
     y = toxic[plain].astype(float)
     if not y.any():
         return Model(np.zeros(1 << DIMENSIONS_BITS), -50)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     space, yes, no = 1 << DIMENSIONS_BITS, y.sum(), len(y) - y.sum()
-    own = plain[row]
-    in_toxic = np.bincount(ids[own & (toxic[row] == 1)], minlength=space).astype(float)
-    in_clean = np.bincount(ids[own & (toxic[row] == 0)], minlength=space).astype(float)
+    in_toxic = np.bincount(ids[(plain & (toxic == 1))[row]], minlength=space).astype(float)
+    in_clean = np.bincount(ids[(plain & (toxic == 0))[row]], minlength=space).astype(float)
     ratio = np.log((in_toxic + 1) / (yes + 2)) - np.log((in_clean + 1) / (no + 2))
     # How far from chance a feature's toxic share is; only features that tell something are kept.
     seen = in_toxic + in_clean
@@ -174,10 +176,11 @@ def train(ids: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, version: np.nda
     deviation[seen < 2] = 0
     chosen = np.sort(np.argsort(-deviation, kind="stable")[:MOST_FEATURES])
     chosen = chosen[deviation[chosen] > 2]
-    number = np.full(space, -1)
+    number = np.full(space, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    column, row = number[ids], row
-    row, column = row[column >= 0], column[column >= 0]
+    column = number[ids]
+    some = column >= 0
+    row, column = row[some], column[some]
     value = ratio[chosen][column]
     weight = np.where(y == 1, len(y) / (2 * yes), len(y) / max(2 * no, 1))
     weight = np.minimum(weight, 4 * weight.min()) / len(y)
