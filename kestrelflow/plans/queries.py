@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from kestrelflow.functions import numbers as N
 from kestrelflow.functions import text as T
-from kestrelflow.operators import catalog, labels, metrics, models, normalize, windows
+from kestrelflow.operators import assess, catalog, labels, metrics, models, normalize, validate, windows
 from kestrelflow.sources import files, raw_text, sinks
-from kestrelflow.sources.telemetry import CHANNELS, table, telemetry
+from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, table, telemetry
 from kestrelflow.streaming import windows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,6 +356,43 @@ def evidence_lines(spark, sf_dir):
     return w.select("unit", "cycle", F.array_join(seen["evidence"], "\n").alias("evidence"))
 
 
+@query(
+    f"""WITH {WINDOWS}, e AS (SELECT unit, cycle, rul, sensor_4_drift AS d4, sensor_11_drift AS d11, CASE WHEN unit % 3 = 0 THEN NULL ELSE CAST(120 - cycle % 120 AS DOUBLE) END AS p FROM windows)
+SELECT unit, cycle, p AS predicted, CAST(round(abs(p - rul), 1) AS DOUBLE) AS abs_error, CASE WHEN p <= 30 THEN 'CRITICAL_WEAR' WHEN p <= 75 THEN 'ELEVATED_WEAR' WHEN p > 75 THEN 'NOMINAL_ENVELOPE' END AS wear,
+  CASE WHEN p IS NULL THEN NULL WHEN d4 > 2 AND d11 < -0.15 THEN 'Both thresholds met' ELSE 'Combined thresholds not met' END AS rule_match,
+  CASE WHEN p IS NULL THEN NULL WHEN cycle % 3 = 0 THEN 'upkeep' WHEN cycle % 3 = 1 THEN 'route' WHEN unit % 2 = 0 THEN 'generated' ELSE 'fallback' END AS route FROM e"""
+)
+def assessments(spark, sf_dir):
+    """Assessments of all windows with questions on every route; units divisible by three have no prediction."""
+    ask = F.when(F.col("cycle") % 3 == 0, "Which part fails?").when(F.col("cycle") % 3 == 1, "Fly to LHR?").otherwise("How is it?")
+    w = strided(spark, sf_dir).withColumn("prompt", ask).withColumn("generated", F.when(F.col("unit") % 2 == 0, " fine "))
+    w = w.withColumn("predicted", F.when(F.col("unit") % 3 != 0, models.static_schedule(F.col("cycle"))).otherwise(F.lit(float("nan"))))
+    a = assess.assess(w, {"sensor_4": "Temperature", "sensor_11": "Pressure"}, "sensor_4", "sensor_11")
+    out = F.col("assessment")
+    return a.select("unit", "cycle", out["predicted_rul"].alias("predicted"), out["abs_error"].alias("abs_error"), out["wear"].alias("wear"), out["rule_match"].alias("rule_match"), out["route"].alias("route"))
+
+
+@query(
+    f"""WITH {WINDOWS}, r AS (SELECT unit, cycle, rul, printf('FD001-U%03d-C%04d', unit, CASE WHEN cycle = 35 THEN 30 ELSE cycle END) AS record_id FROM windows)
+SELECT record_id, 'split' AS rule FROM r WHERE unit % 10 = 3 UNION ALL SELECT record_id, 'rul' FROM r WHERE rul = 0 UNION ALL SELECT record_id, 'target' FROM r WHERE cycle = 40
+UNION ALL SELECT record_id, 'finite' FROM r WHERE unit % 7 = 0 UNION ALL SELECT record_id, 'shape' FROM r WHERE unit % 11 = 0
+UNION ALL SELECT record_id, 'copy' FROM r GROUP BY record_id HAVING count(*) > 1"""
+)
+def record_violations(spark, sf_dir):
+    """The rules that records break, after some were broken."""
+    unit, series = F.col("unit"), F.col("series")
+    w = strided(spark, sf_dir).select(
+        labels.record_id(unit, F.when(F.col("cycle") == 35, 30).otherwise(F.col("cycle"))).alias("record_id"), "unit",
+        F.when(unit % 10 == 3, "test").otherwise(F.col("split")).alias("split"), F.when(F.col("rul") == 0, -1).otherwise(F.col("rul")).alias("rul"),
+        F.when(F.col("cycle") == 40, " ").otherwise("x").alias("target"),
+        F.struct(
+            F.when(unit % 11 == 0, F.slice(series["sensor_4"], 1, 29)).otherwise(series["sensor_4"]).alias("sensor_4"),
+            F.when(unit % 7 == 0, F.transform(series["sensor_9"], lambda x: x * 1e40)).otherwise(series["sensor_9"]).alias("sensor_9"),
+        ).alias("series"),
+    )
+    return validate.window_violations(w, ("sensor_4", "sensor_9"), SIZE, split_by_digit(unit))
+
+
 # Normalisation.
 
 

@@ -103,3 +103,26 @@ def markdown_table(rows: DataFrame, columns: Sequence[str]) -> str:
     """A report of few rows, such as candidates or scores, as Markdown."""
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     return "\n".join([*lines, *("| " + " | ".join(str(r[c]) for c in columns) + " |" for r in rows.select(*columns).collect())])
+
+
+def save_bundle(model, manifest: dict, root: str) -> None:
+    """A fitted model with its manifest, which goes first and is written last: a bundle without one isn't whole."""
+    spark = SparkSession.getActiveSession()
+    files, at = _files(spark, root)
+    files.delete(at(f"{root}/manifest.json"), False)
+    model.write().overwrite().save(f"{root}/model")
+    write_json(spark, manifest, f"{root}/manifest.json")
+
+
+def load_bundle(load: Callable, root: str, version: int, features: Sequence[str]):
+    """(model, manifest) of a whole bundle made for this version and these features, or ValueError."""
+    spark = SparkSession.getActiveSession()
+    files, at = _files(spark, root)
+    for part in ("manifest.json", "model"):
+        if not files.exists(at(f"{root}/{part}")):
+            raise ValueError(f"the bundle lacks {part}")
+    text = spark.read.text(f"{root}/manifest.json", wholetext=True).first()["value"]
+    manifest = json.loads(text)
+    if manifest.get("version") != version or manifest.get("features") != list(features):
+        raise ValueError("the bundle is of another version or other features")
+    return load(f"{root}/model"), manifest
