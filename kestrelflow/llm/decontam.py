@@ -22,7 +22,7 @@ from kestrelflow.llm.common import shared, steps, utf8
 #: Characters of benchmark text that one broadcast index holds; more is searched in several passes.
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
-STEP = 2 << 20
+STEP = 1 << 19
 
 
 class Characters:
