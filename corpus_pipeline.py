@@ -22,8 +22,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than 5 % of a source's documents go; n_chars follows the text, no document goes."""
-    out = drop_boilerplate(docs, host="source", percent=5, least_pages=3)
+    """Lines on more than 5 % of a source's documents go; n_chars follows the text, no document goes.
+
+    Copies and near-duplicates, as the next stage finds them, count as one document here, so that one
+    whole text of each group reaches it.
+    """
+    out = drop_boilerplate(docs, host="source", percent=5, least_pages=3, near=(5, 80))
     out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 

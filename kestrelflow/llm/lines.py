@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import WordHasher, arrow_rows, steps, stored, utf8
+from kestrelflow.llm.common import WordHasher, arrow_rows, settled, steps, stored, utf8
+from kestrelflow.llm.neardup import near_duplicates
 
 
 def _not_line() -> np.ndarray:
@@ -25,6 +26,13 @@ def line_hashes(column: pa.Array):
         yield from (lines[first[k] : first[k + 1]] for k in range(j - i))
 
 
+def _frequent(on: DataFrame, totals: DataFrame, percent: int, least: int) -> DataFrame:
+    """(host, drop) of (host, line, n) and (of, total)."""
+    found = on.where(F.col("n") >= least).join(totals, F.col("host").eqNullSafe(F.col("of")))
+    found = found.where(100 * F.col("n") > percent * F.col("total"))
+    return found.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
+
+
 def boilerplate_lines(pages: DataFrame, percent: int, least_pages: int) -> DataFrame:
     """(host, drop): for each host that has some, the hashes of its boilerplate lines.
 
@@ -42,12 +50,56 @@ def boilerplate_lines(pages: DataFrame, percent: int, least_pages: int) -> DataF
 
     on_pages = arrow_rows(pages.select("host", "text"), work, "host string, line long").groupBy("host", "line").agg(F.count("*").alias("n"))
     totals = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))
-    frequent = on_pages.where(F.col("n") >= least_pages).join(totals, F.col("host").eqNullSafe(F.col("of")))
-    frequent = frequent.where(100 * F.col("n") > percent * F.col("total"))
-    return frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
+    return _frequent(on_pages, totals, percent, least_pages)
+
+
+def boilerplate_of_groups(pages: DataFrame, percent: int, least: int, near: tuple[int, int]) -> DataFrame:
+    """(host, drop) as boilerplate_lines(), where copies of a text are one page, and near copies too.
+
+    A line has to be on more than the share of a host's different texts, and on more than the share
+    of its groups of near-duplicates. Only pages that hold a line of the first kind are grouped.
+    """
+    pages = pages.withColumn("page", F.xxhash64("text"))
+
+    def work(batch: pa.RecordBatch):
+        found = [np.unique(x) for x in line_hashes(batch.column("text"))]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        lines = np.concatenate([*found, np.zeros(0, np.uint64)])
+        kept = [batch.column("host").take(at), batch.column("page").take(at), pa.array(lines.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(kept, ["host", "page", "line"])
 
+    each = arrow_rows(pages.select("host", "page", "text"), work, "host string, page long, line long").distinct()
+    totals = settled(pages.select("host", "page").distinct().groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total")))
+    first = settled(_frequent(each.groupBy("host", "line").agg(F.count("*").alias("n")), totals, percent, least))
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", percent: int = 5, least_pages: int = 3) -> DataFrame:
+    listed = first.withColumnRenamed("host", "of")
+    held = pages.join(listed, F.col("host").eqNullSafe(F.col("of"))).select("host", "page", "text", "drop")
+
+    def holding(batch: pa.RecordBatch):
+        drops, hits, sets = batch.column("drop"), [], {}
+        for r, lines in enumerate(line_hashes(batch.column("text"))):
+            listed = drops[r].values
+            key = (listed.offset, len(listed))
+            if key not in sets:
+                sets[key] = listed.to_numpy().view(np.uint64)
+            hits.append(np.unique(lines[np.isin(lines, sets[key])]).view(np.int64))
+        some = pa.array([len(x) > 0 for x in hits], pa.bool_())
+        out = [*(batch.column(c) for c in ("host", "page", "text")), pa.array(hits, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, ["host", "page", "text", "lines"]).filter(some)
+
+    held = stored(arrow_rows(held, holding, "host string, page long, text string, lines array<long>"), "held")
+    texts = held.groupBy("page").agg(F.first("text").alias("text")).select(F.col("page").alias("doc_id"), "text")
+    groups = near_duplicates(texts, *near).select(F.col("doc_id").alias("page"), F.col("component_id").alias("group"))
+    grouped = settled(held.select("host", "page", "lines").distinct().join(groups, "page"))
+    fewer = grouped.groupBy(F.col("host").alias("in")).agg((F.count_distinct("page") - F.count_distinct("group")).alias("fewer"))
+    totals = totals.join(fewer, F.col("of").eqNullSafe(F.col("in")), "left").select("of", (F.col("total") - F.coalesce("fewer", F.lit(0))).alias("total"))
+    on = grouped.select("host", "group", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    return _frequent(on, totals, percent, least)
+
+
+def drop_boilerplate(
+    pages: DataFrame, host: str = "source", percent: int = 5, least_pages: int = 3, near: tuple[int, int] | None = None
+) -> DataFrame:
     """The pages with `text` without boilerplate lines, and columns n_lines and n_dropped.
 
     A line is boilerplate if at least `least_pages` pages of its host and more than `percent` percent
@@ -56,9 +108,15 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", percent: int = 5, l
     A null text stays null, a text whose lines all go is empty, a null host is a host of its own.
     All rows stay, repeated rows too; no rows give no rows. Columns named n_lines and n_dropped are
     replaced.
+
+    Every row counts as a page, so lines of a text that is copied often are boilerplate. With `near`,
+    a shingle size and a percentage as near_duplicates() takes them, a host's copies of one text
+    count as one page, in the count of all pages too, and so do near-duplicates: no group of copies
+    loses its text by its own size.
     """
     keyed = pages.select(F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    drop = stored(boilerplate_lines(keyed, percent, least_pages), "boilerplate").withColumnRenamed("host", "_of")
+    found = boilerplate_of_groups(keyed, percent, least_pages, near) if near else boilerplate_lines(keyed, percent, least_pages)
+    drop = stored(found, "boilerplate").withColumnRenamed("host", "_of")
     rows = pages.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
     columns = rows.columns
     rows = rows.join(drop, rows[host].cast("string").eqNullSafe(drop["_of"]), "left").select(*(rows[c] for c in columns), drop["drop"].alias("_drop"))

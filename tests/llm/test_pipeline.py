@@ -49,3 +49,19 @@ def test_rows_without_id_or_text_stay(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(((o[0], o[1]) for o in odd), key=str)
+
+
+def test_groups_of_copies_keep_one_whole_text(spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    line = lambda tag: " ".join(f"{tag}{i}" for i in range(30))
+    copied = "\n".join(line(f"c{k}x") for k in range(6))
+    near = [line(f"n{k}x") for k in range(6)]
+    rows = [(i, copied) for i in range(20)]
+    rows += [(100 + i, "\n".join([*near[: i % 6], near[i % 6] + f" e{i}", *near[i % 6 + 1 :]])) for i in range(20)]
+    rows += [(200 + i, "menu of the site\n" + line(f"u{i}x")) for i in range(20)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], real.schema)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == (60 if name == "line_dedup" else 22)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert texts == {0: copied, 100: rows[20][1]} | {200 + i: line(f"u{i}x") for i in range(20)}
