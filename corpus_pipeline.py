@@ -35,10 +35,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
-    Rows without an id stay; of rows with one id, one stays.
+    Rows without an id stay. Rows of one id are documents of their own where their texts differ; of
+    rows with one id and one text, one stays.
     """
-    kept = near_duplicates(docs, shingle=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    names = docs.columns
+    rows = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_also": F.xxhash64(F.lit(1), "text", "doc_id")})
+    rows = rows.where("doc_id is not null")
+    found = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = rows.select("_key", "doc_id").distinct().join(found, "_key")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key")).select("_key")
+    stay = rows.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_also"]).select(*names)
+    return docs.where("doc_id is null").unionByName(stay)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_groups_of_copies_keep_one_whole_text(spark, sf_dir):
         assert docs.count() == (60 if name == "line_dedup" else 22)
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert texts == {0: copied, 100: rows[20][1]} | {200 + i: line(f"u{i}x") for i in range(20)}
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = lambda tag, n=40: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (1, text("b") + " end"), (2, text("a")), (3, text("c")), (4, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], real.schema)
+    out = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text and r.text[:2]) for r in out.collect()), key=str)
+    assert got == [(1, "a0"), (1, "b0"), (3, "c0"), (4, ""), (4, None)]
