@@ -97,43 +97,80 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+#: Lowest n bytes of a 64-bit word.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one little-endian number; behind the end are zeros."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+
+
+def _further(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of over eight bytes, and for each further block its span's place among them, its number and each span's first block."""
+    long = np.flatnonzero(lengths > 8)
+    count = (lengths[long] - 1) // 8
+    begin = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(long)), count)
+    return long, owner, np.arange(len(owner)) - begin[owner] + 1, begin
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings data[start : start + length].
+
+    Every block of eight bytes is mixed with its number before the blocks are summed, and the length
+    goes in at the end; the sum has no algebra that swaps of bytes or blocks could use.
+    """
+    block, seed = blocks_of(data), np.uint64(0x9E3779B97F4A7C15)
+    total = mix(mix((block[starts] & LOW_BYTES[np.minimum(lengths, 8)]) + seed))
+    long, owner, nth, begin = _further(lengths)
+    if len(long):
+        part = block[starts[long][owner] + 8 * nth] & LOW_BYTES[np.minimum(lengths[long][owner] - 8 * nth, 8)]
+        total[long] += np.add.reduceat(mix(mix(part + seed) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin)
+    return mix(total + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def same_spans(data, starts, lengths, other, other_starts, other_lengths) -> np.ndarray:
+    """True where data[start : start + length] has the bytes of its counterpart in `other`."""
+    a, b = blocks_of(data), blocks_of(other)
+    same = lengths == other_lengths
+    same &= (a[starts] ^ b[other_starts]) & LOW_BYTES[np.minimum(lengths, 8)] == 0
+    some = np.flatnonzero(same)
+    long, owner, nth, begin = _further(lengths[some])
+    if len(long):
+        long = some[long]
+        differ = (a[starts[long][owner] + 8 * nth] ^ b[other_starts[long][owner] + 8 * nth]) & LOW_BYTES[np.minimum(lengths[long][owner] - 8 * nth, 8)]
+        same[long] = np.bitwise_or.reduceat(differ, begin) == 0
+    return same
+
+
 class WordHasher:
     """64-bit hashes of the words of many texts at once.
 
-    Words are the longest runs of bytes for which `separator` is false. A word's hash is a
-    polynomial in an odd base over random numbers of its bytes, mixed at the end; with `fold` A-Z
-    count as a-z.
+    Words are the longest runs of bytes for which `separator` is false; with `fold` A-Z count as a-z.
     """
 
-    BASE, INVERSE = 0x9E3779B97F4A7C13, pow(0x9E3779B97F4A7C13, -1, 1 << 64)
-
     def __init__(self, separator: np.ndarray, fold: bool = True):
-        self.separator = separator
-        self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.separator, self.folded = separator, np.arange(256, dtype=np.uint8)
         if fold:
-            self.value[ord("A") : ord("Z") + 1] = self.value[ord("a") : ord("z") + 1]
-        self.value[separator] = 0
-        self._powers(STEP_BYTES)
-
-    def _powers(self, n: int) -> None:
-        self.up, self.down = np.full(n, self.BASE, np.uint64), np.full(n, self.INVERSE, np.uint64)
-        self.up[0] = self.down[0] = 1
-        np.multiply.accumulate(self.up, out=self.up)
-        np.multiply.accumulate(self.down, out=self.down)
+            self.folded[ord("A") : ord("Z") + 1] = self.folded[ord("a") : ord("z") + 1]
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' first bytes and lengths, and for each text the index of its first word (and the end)."""
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~self.separator[data]
+        edge = np.diff(inside)
+        cut = offsets[1:-1]
+        cut = np.unique(cut[(inside[cut] & inside[cut + 1]) == 1])  # words that meet where one text ends and the next begins
+        starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(cut):
+            starts, stops = np.sort(np.append(starts, cut)), np.sort(np.append(stops, cut))
+        return starts, stops - starts, np.searchsorted(starts, offsets)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the words, their first bytes, and for each text the index of its first word (and the end)."""
-        if len(data) > len(self.up):
-            self._powers(len(data))
-        off = self.separator[data]
-        before = np.ones(len(data) + 1, bool)
-        before[1:] = off
-        before[offsets[:-1]] = True
-        starts = np.flatnonzero(~off & before[:-1])
-        if not len(starts):
-            return np.zeros(0, np.uint64), starts, np.zeros(len(offsets), np.int64)
-        sums = np.add.reduceat(self.value[data] * self.up[: len(data)], starts)
-        return mix(sums * self.down[starts]), starts, np.searchsorted(starts, offsets)
+        starts, lengths, first = self.spans(data, offsets)
+        return span_hashes(self.folded[data], starts, lengths), starts, first
 
 
 def ascii_space() -> np.ndarray:

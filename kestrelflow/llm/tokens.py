@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import WordHasher, shared, steps, utf8
+from kestrelflow.llm.common import same_spans, shared, span_hashes, steps, utf8
 
 NONE = np.iinfo(np.int32).max
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -155,36 +155,51 @@ def token_starts(chars: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
     return np.flatnonzero(start)
 
 
-def counter(merges: Merges, most_known: int = 1_000_000):
-    """A function that gives the token count of each text of a column; it remembers pre-tokens by their hash."""
-    hasher = WordHasher(np.zeros(256, bool), fold=False)
+def counter(merges: Merges, most_known: int = 1_000_000, hashes=span_hashes):
+    """A function that gives the token count of each text of a column.
+
+    It remembers pre-tokens with their bytes, under their hashes; one counts as known only if all its
+    bytes are equal.
+    """
     known, known_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, held_at, held_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        nonlocal known, known_count
+        nonlocal known, known_count, held, held_at, held_size
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         starts = lead[token_starts(chars, np.searchsorted(lead, offsets), merges.classes)] if len(lead) else lead
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64)
-        if len(data) > len(hasher.up):
-            hasher._powers(len(data))
-        hashes = np.add.reduceat(hasher.value[data] * hasher.up[: len(data)], starts) * hasher.down[starts]
         lengths = np.diff(np.append(starts, len(data)))
-        each, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(known, each)
-        found = known[np.minimum(at, len(known) - 1)] == each if len(known) else np.zeros(len(each), bool)
+        each, where, back = np.unique(hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        begin, size = starts[where], lengths[where]
+        at = np.minimum(np.searchsorted(known, each), max(0, len(known) - 1))
+        taken = known[at] == each if len(known) else np.zeros(len(each), bool)
+        found = np.flatnonzero(taken)
+        found = found[same_spans(data, begin[found], size[found], held, held_at[at[found]], held_size[at[found]])]
         counts = np.zeros(len(each), np.int64)
         counts[found] = known_count[at[found]]
-        new = where[~found]
-        counts[~found] = merges.symbols_left(data, starts[new], lengths[new])
-        if len(known) > most_known:
-            known, known_count = each, counts
-        elif len(new):
-            both, values = np.concatenate([known, each[~found]]), np.concatenate([known_count, counts[~found]])
+        new = np.ones(len(each), bool)
+        new[found] = False
+        counts[new] = merges.symbols_left(data, begin[new], size[new])
+        per_token = counts[back]
+        other = np.flatnonzero(~same_spans(data, starts, lengths, data, begin[back], size[back]))
+        if len(other):  # equal hashes, other bytes
+            per_token[other] = merges.symbols_left(data, starts[other], lengths[other])
+
+        keep = np.flatnonzero(~taken)
+        if len(known) > most_known or len(held) > 16 * most_known:
+            known, known_count, held_at, held_size, held, keep = known[:0], known_count[:0], held_at[:0], held_size[:0], held[:0], np.arange(len(each))
+        if len(keep):
+            inner = np.arange(size[keep].sum()) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
+            both, values = np.concatenate([known, each[keep]]), np.concatenate([known_count, counts[keep]])
+            ends = len(held) + np.cumsum(size[keep])
+            held = np.concatenate([held, data[inner + np.repeat(begin[keep], size[keep])]])
+            held_at, held_size = np.concatenate([held_at, ends - size[keep]]), np.concatenate([held_size, size[keep]])
             order = np.argsort(both, kind="stable")
-            known, known_count = both[order], values[order]
-        total = np.append(0, np.cumsum(counts[back]))
+            known, known_count, held_at, held_size = both[order], values[order], held_at[order], held_size[order]
+        total = np.append(0, np.cumsum(per_token))
         return np.diff(total[np.searchsorted(starts, offsets)])
 
     special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))).encode()) if merges.special else None

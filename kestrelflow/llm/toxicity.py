@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import WordHasher, mix, not_letter, shared, steps, utf8
+from kestrelflow.llm.common import LOW_BYTES, WordHasher, blocks_of, mix, not_letter, shared, span_hashes, steps, utf8
 
 #: Terms for groups of people, by kind; a term is swapped for the next of its row.
 IDENTITY_TERMS = (
@@ -33,6 +33,10 @@ DIMENSIONS_BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Training takes so many labelled rows of either class at most, those with the least hash of their id.
 MOST_ROWS = {1: 2000, 0: 4000}
+#: Longer texts are not learnt from (they are scored whole), so what reaches the driver has a bound.
+MOST_CHARS = 1 << 16
+#: A model weighs so many features at most: of those in two texts or more, the ones whose share of toxic
+#: texts is furthest from chance. The others weigh nothing.
 MOST_FEATURES = 1 << 15
 
 
@@ -49,20 +53,14 @@ class Features:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Feature ids and the texts they belong to; an id may come several times."""
-        h = self.hasher
-        words, starts, first = h.words(data, offsets)
+        starts, lengths, first = self.hasher.spans(data, offsets)
         rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        if not len(words):
-            return np.zeros(0, np.int64), rows
-        off = h.separator[data]
-        stop = np.append(np.flatnonzero(off), len(data))
-        end = np.minimum(stop[np.searchsorted(stop, starts)], offsets[rows + 1])
-        sums = np.append(np.uint64(0), np.cumsum(h.value[data] * h.up[: len(data)]))
-        out, owners = [mix(words + np.uint64(1))], [rows]
+        low = self.hasher.folded[data]
+        begin = blocks_of(low)[starts]
+        out, owners = [mix(span_hashes(low, starts, lengths) + np.uint64(1))], [rows]
         for size in BEGINNINGS:
-            long = np.flatnonzero(end - starts > size)
-            part = (sums[starts[long] + size] - sums[starts[long]]) * h.down[starts[long]]
-            out.append(mix(part + np.uint64(size + 1)))
+            long = np.flatnonzero(lengths > size)
+            out.append(mix(mix(begin[long] & LOW_BYTES[size]) + np.uint64(size + 1)))
             owners.append(rows[long])
         return (np.concatenate(out) >> np.uint64(64 - DIMENSIONS_BITS)).astype(np.int64), np.concatenate(owners)
 
@@ -108,18 +106,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST_ROWS) -> DataFrame:
-    """(doc_id, text, toxic): the labelled rows that training takes. Never rows of the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST_ROWS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(doc_id, text, toxic): what training takes, never of the held-out fold; a row for each id.
+
+    An id that is labelled both 0 and 1 is left out. Where docs has several texts of one id, the one
+    with the least hash is taken; null texts and texts of over `most_chars` characters are not.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     parts = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in most.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most sum(most) rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(chosen, "doc_id").where("text is not null")
+    texts = texts.where(F.length("text") <= most_chars).join(chosen, "doc_id")
+    return texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST_ROWS, penalty: float = 1.0) -> Model:
-    """A model of the sampled labelled rows. Without toxic rows among them every score is 0."""
+    """A model of the sampled labelled rows. Without toxic rows among them every score is below 1e-20."""
 
     def run(batches):
         features = Features()
