@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Patterns aligned at once, and their cells.
+MOST_ROWS, MOST_CELLS = 4096, 1 << 16
+#: A cell's low bits hold a diagonal, its high bits count edits.
+BITS = 28
+
 
 def banded_edits(text, first, row, low, width, pattern, begin, size):
     """(edits, start, end) of each whole pattern against its text, along `width` diagonals from `low` up.
@@ -12,9 +17,13 @@ def banded_edits(text, first, row, low, width, pattern, begin, size):
     The alignment starts and ends anywhere in the text; start and end count from the text's first symbol.
     """
     out = [np.zeros(len(row), np.int64) for _ in range(3)]
-    order = np.argsort(size, kind="stable")
-    for a in range(0, len(order), 256):
-        part = order[a : a + 256]
+    order = np.lexsort((width, size))
+    a = 0
+    while a < len(order):
+        # So many rows that their cells fit in a bounded table; one row of a very long pattern may be wider.
+        fit = np.flatnonzero(np.maximum.accumulate(width[order[a : a + MOST_ROWS]]) * np.arange(1, len(order[a : a + MOST_ROWS]) + 1) <= MOST_CELLS)
+        part = order[a : a + max(1, len(fit))]
+        a += len(part)
         got = _rows(text, first, row[part], low[part], int(width[part].max()), pattern, begin[part], size[part])
         for x, y in zip(out, got, strict=True):
             x[part] = y
@@ -25,7 +34,7 @@ def _rows(text, first, row, low, width, pattern, begin, size):
     edits, starts, ends = (np.zeros(len(row), np.int64) for _ in range(3))
     offset, beyond = np.arange(width), np.int64(1) << 60
     # A cell holds edits * unit + the diagonal at which its alignment began.
-    unit = np.int64(1) << 20
+    unit = np.int64(1) << BITS
     start = low[:, None] + offset
     length, base = (first[row + 1] - first[row])[:, None], first[row][:, None]
     cell = np.where((start >= 0) & (start <= length), offset[None, :], beyond)
@@ -40,8 +49,9 @@ def _rows(text, first, row, low, width, pattern, begin, size):
         # With text symbols between: from the diagonals before.
         new = np.minimum.accumulate(new - offset * unit, axis=1) + offset * unit
         cell = np.where((j + 1 >= 0) & (j + 1 <= length), new, beyond)
-        for r in np.flatnonzero(size == i + 1):
-            best = int(np.argmin(cell[r]))
-            edits[r], starts[r] = cell[r, best] >> 20, low[r] + (cell[r, best] & (unit - 1))
-            ends[r] = low[r] + best + i + 1
+        over = np.flatnonzero(size == i + 1)
+        if len(over):
+            best = np.argmin(cell[over], axis=1)
+            value = cell[over, best]
+            edits[over], starts[over], ends[over] = value >> BITS, low[over] + (value & (unit - 1)), low[over] + best + i + 1
     return edits, starts, ends

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,7 @@ def test_licenses_against_full_alignment(spark):
         for n, name in enumerate(index.names):
             m = split(licenses.TEMPLATES[name])
             best = fewest_edits(m, split(text))
-            intact = any(m[a : a + 4] == split(text)[b : b + 4] for a in range(len(m) - 3) for b in range(len(split(text)) - 3))
-            if best <= index.edits[n] and (intact or best == 0):
+            if best <= index.edits[n]:
                 assert got.get((d, name)) == best, (d, name, best, got.get((d, name)))
             elif best > index.edits[n]:
                 assert (d, name) not in got
@@ -52,6 +52,41 @@ def test_licenses_against_full_alignment(spark):
     assert licenses.scan_licenses(frame.limit(0)).count() == 0
 
 
+def test_any_edit_within_the_budget_is_found():
+    index, hasher, rng = licenses.TemplateIndex(licenses.TEMPLATES), licenses.WordHasher(licenses.not_letter()), random.Random(5)
+    for n, name in enumerate(index.names):
+        words = re.findall("[A-Za-z0-9]+", licenses.TEMPLATES[name])
+        k = int(index.edits[n])
+        for _ in range(40):
+            changed = list(words)
+            for p in sorted(rng.sample(range(len(words)), k), reverse=True):
+                changed[p : p + 1] = rng.choice([["zz"], [], [changed[p], "zz"]])
+            data = np.frombuffer(("pad text " + " ".join(changed) + " more").encode(), np.uint8)
+            row, item, edits, _, _ = index.scan(data, np.array([0, len(data)]), hasher)
+            assert n in item[edits <= k], (name, changed)
+
+
+def test_many_notices_in_one_text():
+    index, hasher = licenses.TemplateIndex(licenses.TEMPLATES), licenses.WordHasher(licenses.not_letter())
+    data = np.frombuffer(b"Released under the MIT License. " * 100_000, np.uint8)
+    begun = time.monotonic()
+    row, item, edits, start, end = index.scan(data, np.array([0, len(data)]), hasher)
+    assert len(row) == 100_000 and not edits.any() and start.tolist() == list(range(0, len(data), 32)) and set(end - start) == {30}
+    assert time.monotonic() - begun < 20
+
+
+def test_spans_of_a_group_stay_apart():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(0, 60))
+        group, edits, start = rng.integers(0, 3, n), rng.integers(0, 4, n), rng.integers(0, 80, n)
+        end, kept = start + rng.integers(1, 12, n), []
+        for r in np.lexsort((end, start, edits)):
+            if all(group[r] != group[x] or end[r] <= start[x] or start[r] >= end[x] for x in kept):
+                kept.append(r)
+        assert sorted(licenses.apart(group, edits, start, end).tolist()) == sorted(kept)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
@@ -69,25 +104,46 @@ def test_held_out_rows_and_other_columns_change_nothing(spark, sf_dir):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
-def test_swapping_terms_is_penalised():
+def learnt(rows, penalty):
+    features, ids, sizes, toxic, version = toxicity.Features(), [], [], [], []
+    for text, label in rows:
+        for k, t in enumerate([text, *toxicity.swapped(text)]):
+            ids.append(np.unique(next(iter(features.of_column(pa.array([t]))))[1]))
+            sizes.append(len(ids[-1]))
+            toxic.append(label)
+            version.append(k)
+    model = toxicity.train(np.concatenate(ids), np.array(sizes), np.array(toxic), np.array(version), penalty)
+    return lambda texts: model.scores(pa.array(texts), features)
+
+
+def test_the_penalty_spares_neutral_mentions():
+    """One group is named in most toxic texts and in few others; mentions of it aren't toxic by themselves."""
     assert toxicity.swapped("Muslim men") == ["christian women", "atheist women"] and toxicity.swapped("none here") == []
-    features = toxicity.Features()
-    texts = ["you scum muslim", "scum you are muslim", "muslim scum", "a muslim came", "nice day", "they came home", "we ate bread", "scum again muslim"]
-    toxic = [1, 1, 1, 0, 0, 0, 0, 1]
-    every, kind, label = [], [], []
-    for t, y in zip(texts, toxic, strict=True):
-        versions = [t, *toxicity.swapped(t)]
-        every += versions
-        kind += range(len(versions))
-        label += [y] * len(versions)
-    ids, sizes = [], []
-    for t in every:
-        found = np.unique(next(iter(features.of_column(pa.array([t]))))[1])
-        ids.append(found)
-        sizes.append(len(found))
-    args = np.concatenate(ids), np.array(sizes), np.array(label), np.array(kind)
-    gap = lambda m: np.diff(m.scores(pa.array(["a muslim came", "a christian came"]), features))[0]
-    assert abs(gap(toxicity.train(*args, penalty=50.0))) <= abs(gap(toxicity.train(*args, penalty=0.0)))
+    rng = random.Random(9)
+    plain = [f"word{i}" for i in range(40)]
+    some = lambda *more: " ".join(rng.sample(plain, 6) + [*more])
+    insults = ["scum", "vermin", "filth", "trash", "idiots", "morons"]
+    rows = [(some("muslim", rng.choice(insults)) if i % 4 else some("muslim"), 1) for i in range(120)]
+    rows += [(some("christian") if i % 9 == 0 else some(), 0) for i in range(400)] + [(some("muslim"), 0) for _ in range(4)]
+    free, held = learnt(rows, 0.0), learnt(rows, 30.0)
+    neutral, toxic = [some("muslim") for _ in range(200)], [some(rng.choice(insults), t) for t in ("muslim", "christian") for _ in range(100)]
+    assert (free(neutral) >= 0.5).sum() > 100
+    assert (held(neutral) >= 0.5).sum() < 10
+    assert (held(toxic) >= 0.5).mean() > 0.9
+    gap = lambda m: float(np.abs(m(["a muslim came"]) - m(["a christian came"]))[0])
+    assert gap(held) < 0.5 * gap(free)
+
+
+def test_ids_that_come_twice(spark):
+    rows = [(i, "you idiot" if i % 2 else "good day", i % 2) for i in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, f"other text {i} muslim") for i in range(0, 100, 3)] + [(1, "you idiot" * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, 0), (8, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels).collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) and 7 not in ids and max(len(r.text) for r in got) < 100
+    assert sorted(toxicity.sample(docs.repartition(7), labels.repartition(3)).collect()) == sorted(got)
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(5), labels)
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
 def test_odd_rows(spark):
