@@ -23,7 +23,9 @@ def test_round_trip_of_hard_texts(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
-def test_rules_and_index(spark):
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_rules_and_index(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MOST_BROADCAST", most)
     rules = [urls.site_rule("net/", "block"), urls.site_rule("example.net/en/", "allow"), urls.site_rule("a.b/x", "block"), urls.word_rule("login")]
     cases = {
         "http://Sub.EXAMPLE.net/en/1": "example.net/en/", "http://example.net/EN/1": "net/", "http://example.net": None, "http://example.net/": "net/",
@@ -40,3 +42,13 @@ def test_rules_and_index(spark):
     assert fetched["nothing"] == 0 and fetched["http://Sub.EXAMPLE.net/en/1"] == 2
     assert urls.judge_urls(frame.limit(0), rules).count() == 0
     assert urls.judge_urls(frame, []).where("verdict = 'allow'").count() == len(rows)
+
+
+def test_many_rules_are_found_by_their_tokens(spark):
+    rules = [urls.site_rule(f"site{i}.org/p{i}/", "block") for i in range(2000)]
+    rows = [(i, f"http://www.site{i}.org/p{i if i % 2 else 0}/x") for i in range(0, 4000, 7)]
+    out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.page_id: (r.rule, r.fetched) for r in out.collect()}
+    fits = lambda i: i < 2000 and (i % 2 == 1 or i == 0)
+    assert got == {i: (f"site{i}.org/p{i}/" if fits(i) else None, int(fits(i))) for i, _ in rows}
