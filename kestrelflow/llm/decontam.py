@@ -23,6 +23,10 @@ from kestrelflow.llm.common import shared, steps, utf8
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
 STEP = 1 << 19
+#: Hits on a gram of more places than this are done without as far as the lemma allows.
+COMMON = 64
+#: Pairs of a hit and a place that are counted at once.
+AT_ONCE = 1 << 20
 
 
 class Characters:
@@ -74,7 +78,11 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """Items and the places of their q-grams. Items with fewer than q characters in normal form are left out."""
+    """Items and the places of their q-grams. Items with fewer than q characters in normal form are left out.
+
+    Places of grams that many items share are left out too, of each item at most so many that half of
+    the hits the lemma promises are still to come; its threshold is less by the number left out.
+    """
 
     def __init__(self, ids: list, texts: list, q: int, rate: float):
         shape = Characters()
@@ -93,14 +101,45 @@ class Index:
         self.chars = np.concatenate([*(c for _, c in parts), np.zeros(0, np.uint32)])
         grams = [gram_hashes(c, q) for _, c in parts]
         every = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(g) for g in grams])
+        at = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.zeros(0, np.int32)])
+        _, group, places = np.unique(every, return_inverse=True, return_counts=True)
+        by_item = np.lexsort((-places[group], item))
+        rank = np.empty(len(every), np.int64)
+        rank[by_item] = np.arange(len(every)) - np.searchsorted(item, item)[by_item]
+        out = (places[group] > COMMON) & (rank < (self.least[item] - 1) // 2)
+        self.least -= np.bincount(item[out], minlength=len(parts))
+        every, item, at = every[~out], item[~out], at[~out]
         order = np.argsort(every, kind="stable")
-        self.item = np.repeat(np.arange(len(parts)), [len(g) for g in grams])[order]
-        self.at = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[order]
+        self.item, self.at = item[order], at[order]
         self.gram, start = np.unique(every[order], return_index=True)
         self.posting = np.append(start, len(every))
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[self.gram >> np.uint64(64 - BITMAP_BITS)] = True
 
+    def counted(self, place: np.ndarray, at: np.ndarray, row: np.ndarray):
+        """Hits in each (row, item, band) as one key, and their counts; bands count from `low` and are `span`."""
+        low, span = -int(self.size.max()) - 2, int(self.size.max() + place.max()) + 4
+        times = self.posting[at + 1] - self.posting[at]
+        ends, a, keys, counts = np.cumsum(times), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+            some = times[a:b]
+            which = np.repeat(np.arange(a, b), some)
+            entry = np.arange(len(which)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(self.posting[at[a:b]], some)
+            item = self.item[entry].astype(np.int64)
+            diagonal = place[which] - self.at[entry]
+            step = self.edits[item] + 1
+            band = diagonal // step
+            also = diagonal - band * step < self.edits[item]
+            pair = row[which] * len(self.ids) + item
+            key = np.append(pair * span + band - low, (pair * span + band - low - 1)[also])
+            key, count = np.unique(key, return_counts=True)
+            keys, back = np.unique(np.append(keys, key), return_inverse=True)
+            counts = np.bincount(back, np.append(counts, count), len(keys)).astype(np.int64)
+            a = b
+        return keys, counts, low, span
+
     def matches(self, data: np.ndarray, offsets: np.ndarray, shape: Characters):
         """Arrays (row, item, edits, start, end): each item found in a text, at its best place."""
         chars, first, place = shape.normal(data, offsets)
@@ -115,18 +154,7 @@ class Index:
         none = [np.zeros(0, np.int64)] * 5
         if not len(hit):
             return none
-        times = self.posting[at + 1] - self.posting[at]
-        which = np.repeat(np.arange(len(hit)), times)
-        entry = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.posting[at], times)
-        item, row = self.item[entry], row[which]
-        diagonal = hit[which] - first[row] - self.at[entry]
-        step = self.edits[item] + 1
-        band = diagonal // step
-        also = diagonal - band * step < self.edits[item]
-        row, item, band = np.append(row, row[also]), np.append(item, item[also]), np.append(band, band[also] - 1)
-        low = int(band.min())
-        span = int(band.max()) - low + 1
-        key, count = np.unique((row * len(self.ids) + item) * span + band - low, return_counts=True)
+        key, count, low, span = self.counted(hit - first[row], at, row)
         pair, band = key // span, key % span + low
         row, item = pair // len(self.ids), pair % len(self.ids)
         enough = count >= self.least[item]
