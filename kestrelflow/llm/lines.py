@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelflow.llm.common import WordHasher, arrow_rows, settled, steps, stored, utf8
@@ -26,6 +26,42 @@ def line_hashes(column: pa.Array):
         yield from (lines[first[k] : first[k + 1]] for k in range(j - i))
 
 
+#: So many boilerplate lines of all hosts together are broadcast as arrays by host; more travel with the rows.
+MOST_LISTED = 1 << 20
+
+
+def with_lists(rows: DataFrame, host: Column, drop: DataFrame):
+    """The rows for a task, and a function that gives the sorted line hashes (or None) for each row of a batch."""
+    spark = rows.sparkSession
+    many = drop.agg(F.coalesce(F.sum(F.size("drop") + 1), F.lit(0))).first()[0]
+    if many <= MOST_LISTED:
+        held = spark.sparkContext.broadcast({r["host"]: np.array(r["drop"], np.int64) for r in drop.collect()})
+
+        def broadcast_lists(batch: pa.RecordBatch) -> list:
+            hosts = batch.column("_host").dictionary_encode()
+            lists = [held.value.get(h) for h in hosts.dictionary.to_pylist()]
+            none = held.value.get(None)
+            return [none if i is None else lists[i] for i in hosts.indices.to_pylist()]
+
+        return rows.withColumn("_host", host), broadcast_lists
+
+    def own_lists(batch: pa.RecordBatch) -> list:
+        drops = batch.column("_drop")
+        at, every = drops.offsets.to_numpy(), drops.values.to_numpy()
+        return [every[at[r] : at[r + 1]] if valid else None for r, valid in enumerate(drops.is_valid().to_pylist())]
+
+    listed = drop.select(F.col("host").alias("_of"), F.col("drop").alias("_drop"))
+    return rows.withColumn("_host", host).join(listed, F.col("_host").eqNullSafe(F.col("_of")), "left").drop("_of"), own_lists
+
+
+def listed_among(lines: np.ndarray, listed: np.ndarray | None) -> np.ndarray:
+    """Which of a page's lines are in a sorted list."""
+    if listed is None or not len(listed):
+        return np.zeros(len(lines), bool)
+    lines = lines.view(np.int64)
+    return listed[np.minimum(np.searchsorted(listed, lines), len(listed) - 1)] == lines
+
+
 def _frequent(on: DataFrame, totals: DataFrame, percent: int, least: int) -> DataFrame:
     """(host, drop) of (host, line, n) and (of, total)."""
     found = on.where(F.col("n") >= least).join(totals, F.col("host").eqNullSafe(F.col("of")))
@@ -72,17 +108,10 @@ def boilerplate_of_groups(pages: DataFrame, percent: int, least: int, near: tupl
     totals = settled(pages.select("host", "page").distinct().groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total")))
     first = settled(_frequent(each.groupBy("host", "line").agg(F.count("*").alias("n")), totals, percent, least))
 
-    listed = first.withColumnRenamed("host", "of")
-    held = pages.join(listed, F.col("host").eqNullSafe(F.col("of"))).select("host", "page", "text", "drop")
+    held, lists = with_lists(pages.select("host", "page", "text"), F.col("host"), first)
 
     def holding(batch: pa.RecordBatch):
-        drops, hits, sets = batch.column("drop"), [], {}
-        for r, lines in enumerate(line_hashes(batch.column("text"))):
-            listed = drops[r].values
-            key = (listed.offset, len(listed))
-            if key not in sets:
-                sets[key] = listed.to_numpy().view(np.uint64)
-            hits.append(np.unique(lines[np.isin(lines, sets[key])]).view(np.int64))
+        hits = [np.unique(x[listed_among(x, own)]).view(np.int64) for x, own in zip(line_hashes(batch.column("text")), lists(batch), strict=True)]
         some = pa.array([len(x) > 0 for x in hits], pa.bool_())
         out = [*(batch.column(c) for c in ("host", "page", "text")), pa.array(hits, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(out, ["host", "page", "text", "lines"]).filter(some)
@@ -116,31 +145,24 @@ def drop_boilerplate(
     """
     keyed = pages.select(F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     found = boilerplate_of_groups(keyed, percent, least_pages, near) if near else boilerplate_lines(keyed, percent, least_pages)
-    drop = stored(found, "boilerplate").withColumnRenamed("host", "_of")
     rows = pages.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
     columns = rows.columns
-    rows = rows.join(drop, rows[host].cast("string").eqNullSafe(drop["_of"]), "left").select(*(rows[c] for c in columns), drop["drop"].alias("_drop"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    packed = rows.select(F.struct("*").alias("_row"))  # apart from names of ours
+    packed, lists = with_lists(packed, F.col("_row")[host].cast("string"), stored(found, "boilerplate"))
 
     def work(batch: pa.RecordBatch):
-        texts, drops = batch.column("text"), batch.column("_drop")
+        row = batch.column("_row")
+        texts = row.field("text")
         out, total, gone = texts.to_pylist(), [], []
-        sets: dict = {}
-        for r, lines in enumerate(line_hashes(texts)):
+        for r, (lines, own) in enumerate(zip(line_hashes(texts), lists(batch), strict=True)):
+            bad = listed_among(lines, own)
             total.append(len(lines))
-            gone.append(0)
-            if not len(lines) or not drops[r].is_valid:
-                continue
-            listed = drops[r].values
-            key = (listed.offset, len(listed))
-            if key not in sets:
-                sets[key] = listed.to_numpy().view(np.uint64)
-            bad = np.isin(lines, sets[key])
-            if bad.any():
-                gone[-1] = int(bad.sum())
+            gone.append(int(bad.sum()))
+            if gone[-1]:
                 each = iter(bad.tolist())
                 out[r] = "\n".join(x for x in out[r].split("\n") if not x or not next(each))
-        kept = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns]
+        kept = [pa.array(out, pa.string()) if c == "text" else row.field(c) for c in columns]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_drop").schema)
-    return arrow_rows(rows, work, f"{schema}, n_lines long, n_dropped long")
+    return arrow_rows(packed, work, f"{schema}, n_lines long, n_dropped long")

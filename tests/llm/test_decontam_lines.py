@@ -1,8 +1,11 @@
 import random
 import re
 
-from kestrelflow.llm import decontam
+import pytest
+
+from kestrelflow.llm import decontam, lines
 from kestrelflow.llm.lines import drop_boilerplate
+from tests.llm.test_tokens import alternating
 
 
 def normal(t):
@@ -68,6 +71,29 @@ def test_against_full_alignment(spark):
     assert decontam.drop_contaminated(frame, bench.limit(0)).count() == len(docs)
 
 
+def test_common_grams_and_bounded_steps(spark, monkeypatch):
+    """Items that share most of their text: what is left out of the index loses no match."""
+    rng = random.Random(12)
+    shared, word = "the same preface of every question in this set is rather long ", lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(i, shared + " ".join(word() for _ in range(8))) for i in range(120)] + [(500, "ab " * 200), (501, "z" * 300)]
+    docs = [(i, f"x{i} " + items[i][1].replace(items[i][1][40], "q", 1) + " end") for i in range(0, 120, 5)]
+    docs += [(900, shared * 40), (901, "ab " * 5000), (902, "z" * 5000), (903, "z" * 299)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted((r.doc_id, r.item_id, r.edits) for r in decontam.passages(frame, bench).collect())
+
+    one = found()
+    assert {d for d, i, _ in one if d == i} == set(range(0, 120, 5)) and {(901, 500, 0), (902, 501, 0), (903, 501, 1)} <= set(one)
+    monkeypatch.setattr(decontam, "COMMON", 10**9)
+    index = decontam.Index([0], [items[0][1]], 12, 0.06)
+    monkeypatch.setattr(decontam, "AT_ONCE", 50)
+    assert found() == one
+    monkeypatch.setattr(decontam, "COMMON", 0)
+    fewer = decontam.Index([0], [items[0][1]], 12, 0.06)
+    assert 0 < len(fewer.at) < len(index.at) and fewer.least[0] == index.least[0] - (len(index.at) - len(fewer.at)) > 0
+
+
 def test_several_blocks_find_the_same(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(decontam.passages(docs, bench).collect())
@@ -75,7 +101,9 @@ def test_several_blocks_find_the_same(spark, sf_dir, monkeypatch):
     assert one and sorted(decontam.passages(docs, bench).collect()) == one
 
 
-def test_lines_edge_cases(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_lines_edge_cases(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "MOST_LISTED", most)
     rows = [(1, "a", "menu\nx\n\nmenu"), (2, "a", "menu\ny"), (3, "a", "menu"), (4, "a", None), (5, "a", ""), (6, "b", "menu\nx"),
             (7, None, "foot\n1"), (8, None, "foot\n2"), (9, None, "foot\n3"), (9, None, "foot\n3"), (10, "a", "MENU\nlong " * 20000)]
     frame = spark.createDataFrame([(*r, 7, "h", "d") for r in rows], "doc_id long, source string, text string, n_lines int, host string, _of string")
@@ -85,3 +113,10 @@ def test_lines_edge_cases(spark):
     wanted = [(1, "x\n", 3, 2), (2, "y", 2, 1), (3, "", 1, 1), (4, None, 0, 0), (5, "", 0, 0), (6, "menu\nx", 2, 0), (7, "1", 2, 1)]
     assert got == [*wanted, (8, "2", 2, 1), (9, "3", 2, 1), (9, "3", 2, 1), (10, None, 20001, 0)]
     assert drop_boilerplate(frame.limit(0)).count() == 0
+
+
+def test_lines_that_a_polynomial_hash_takes_for_one_another(spark):
+    one, two = alternating("t", "h", 1024)
+    frame = spark.createDataFrame([(i, "a", f"{one}\nx{i}") for i in range(6)] + [(9, "a", two)], "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in drop_boilerplate(frame).collect()}
+    assert got == {i: f"x{i}" for i in range(6)} | {9: two}
