@@ -6,8 +6,11 @@ while coding. A query's inner products with all codewords are a lookup table, so
 score is a few lookups and a division by its stored norm. The best by that score are ranked again by
 the cosine of the original vectors, in double precision.
 
-Queries and vectors meet in blocks: each block of vectors gives each query its best few, and the best
-of these over all blocks are the result. Equal vectors are coded once, under their smallest ids.
+Vectors lie in cells around coarse centroids, and a query looks into its nearest cells only. How many
+is measured on the learnt vectors: so many that nearly all of their true neighbours lie in them, so
+data without clusters are searched nearly whole and recall holds. Queries and vectors of a cell meet
+in blocks: each block gives each query its best few, and the best of these over all blocks are the
+result. Equal vectors are coded once, under their smallest ids.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import settled, shared
+from kestrelflow.llm.common import settled, shared, stored
 
 BOOKS, WORDS, BEAM = 16, 128, 4
 #: Codebooks are learnt on so many vectors at most, those with the least hash; every vector is indexed.
 MOST_LEARNT = 8192
 #: Vectors and queries of one block, and how many of a block's vectors are ranked again for a query.
 BLOCK, QUERIES, AGAIN = 16384, 2048, 256
+#: Vectors to a cell on average, most cells, and the share of true neighbours that have to lie in the cells looked into.
+CELL, MOST_CELLS, COVERED = 8192, 1024, 0.985
 
 
 class Codebooks:
@@ -82,6 +87,36 @@ class Codebooks:
         return queries.astype(np.float32) @ self.words.reshape(-1, self.words.shape[2]).T
 
 
+class Cells:
+    """Coarse centroids of unit vectors, and how many cells a query looks into."""
+
+    def __init__(self, learnt: np.ndarray, cells: int, k: int, covered: float = COVERED, asked: int = 512, rounds: int = 8, seed: int = 2):
+        x = learnt.astype(np.float32)
+        cells = max(1, min(cells, len(x) // 4))
+        self.centre = x[np.random.default_rng(seed).choice(len(x), cells, replace=False)].copy() if len(x) else np.zeros((1, x.shape[1]), np.float32)
+        for _ in range(rounds if cells > 1 else 0):
+            near = Codebooks._nearest(x, self.centre)
+            for c in range(cells):
+                if (near == c).any():
+                    self.centre[c] = x[near == c].mean(0)
+        self.probes = len(self.centre)
+        if cells > 1:
+            own, some = Codebooks._nearest(x, self.centre), x[:asked]
+            like = some @ x.T
+            like[np.arange(len(some)), np.arange(len(some))] = -np.inf
+            true = own[np.argpartition(-like, k - 1, axis=1)[:, :k]]  # the cells of the true neighbours
+            place = np.argsort(self.order(some, cells), axis=1)
+            self.probes = int(np.quantile(np.take_along_axis(place, true, 1), covered, method="higher")) + 1
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        return Codebooks._nearest(unit.astype(np.float32), self.centre)
+
+    def order(self, unit: np.ndarray, most: int) -> np.ndarray:
+        """The nearest cells of each vector, nearest first."""
+        far = (self.centre * self.centre).sum(1) - 2 * (unit.astype(np.float32) @ self.centre.T)
+        return np.argsort(far, axis=1, kind="stable")[:, :most]
+
+
 def usable(vector: Column, dimension: int) -> Column:
     """Vectors of this length without null or non-finite components that aren't zero."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -90,10 +125,14 @@ def usable(vector: Column, dimension: int) -> Column:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN, block: int = BLOCK) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine for each row where `queries` holds.
 
     A query's candidates are all rows but those with its own id; ties go to the smaller vec_id, ranks
@@ -103,7 +142,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
     count once. Other columns are ignored; no rows give no rows.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     lengths = vectors.where("embedding is not null and vec_id is not null").groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"))
     top = lengths.orderBy(F.desc("n"), "length").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -112,33 +153,43 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
     usual = vectors.where(usable(F.col("embedding"), top["length"]) & F.col("vec_id").isNotNull())
     # Of equal vectors the k + 1 smallest ids are enough, for whichever row asks.
     first = usual.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    single = first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    single = settled(single)
+    single = settled(first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
 
-    learnt = single.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h", "embedding").limit(MOST_LEARNT).select("embedding")
-    x = _matrix(learnt.toArrow().column("embedding")) if top["length"] else np.zeros((0, 1))
-    books = shared(spark, Codebooks(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else Codebooks(np.zeros((0, max(1, top["length"])))))
-
-    blocks = max(1, -(-single.count() // block))
+    learnt = single.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h", "embedding").limit(MOST_LEARNT).select("embedding").toArrow()
+    x = _unit(_matrix(learnt.column("embedding"))) if learnt.num_rows else np.zeros((0, max(1, top["length"])))
+    books = shared(spark, Codebooks(x))
+    cells = shared(spark, Cells(x, min(MOST_CELLS, -(-single.count() // cell)), k))
 
     def coded(batches):
-        own = books()
+        own, around = books(), cells()
         for batch in batches:
             for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                v = _matrix(piece.column("embedding"))
-                codes, norms = own.encode(v / np.linalg.norm(v, axis=1, keepdims=True))
+                unit = _unit(_matrix(piece.column("embedding")))
+                codes, norms = own.encode(unit)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("block"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), piece.column("embedding"), piece.column("ids")],
-                    ["block", "code", "norm", "embedding", "ids"],
+                    [pa.array(around.of(unit), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), piece.column("embedding"), piece.column("ids")],
+                    ["cell", "code", "norm", "embedding", "ids"],
                 )
 
-    index = single.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks)).cast("int")).select("block", "embedding", "ids")
-    index = index.mapInArrow(coded, "block int, code binary, norm float, embedding array<double>, ids array<long>")
-    asked = settled(usual.where(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    groups = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id", "query"), F.lit(groups)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    index = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    def probing(batches):
+        around = cells()
+        for batch in batches:
+            near = around.order(_unit(_matrix(batch.column("query"))), around.probes)
+            at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("query_id", "query")), pa.array(near.ravel(), pa.int32())], ["query_id", "query", "cell"])
+
+    index = stored(single.mapInArrow(coded, f"cell int, code binary, norm float, embedding {kind}, ids array<long>"), "ann-index")
+    asked = usual.where(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = stored(asked.mapInArrow(probing, f"query_id long, query {kind}, cell int"), "ann-queries")
+    # A cell of many vectors is several blocks, and its many queries several groups; a row for each cell.
+    parts = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    groups = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    plan = F.broadcast(settled(parts.join(groups, "cell")))
+    index = index.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("embedding"), "parts").cast("int"))
+    index = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asked = asked.join(plan, "cell").withColumn("group", F.pmod(F.xxhash64("query_id", "query"), "groups").cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    index, asked = index.select("cell", "block", "group", "code", "norm", "embedding", "ids"), asked.select("cell", "block", "group", "query_id", "query")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict = {"query_id": [], "vec_id": [], "score": []}
@@ -173,7 +224,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
                     found["score"].append(float(value))
         return pa.table(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    pairs = index.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(search, "query_id long, vec_id long, score double")
+    pairs = index.groupBy("cell", "block", "group").cogroup(asked.groupBy("cell", "block", "group")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kestrelflow.llm import ann
@@ -47,7 +49,27 @@ def test_recall_on_the_table(spark):
     assert hits / total >= 0.95, hits / total
 
 
-def test_blocks_ties_and_odd_rows(spark):
+@pytest.mark.parametrize("clusters", [1, 60])
+def test_recall_over_many_cells(spark, clusters):
+    """At the settings of the query, but for smaller cells and blocks; without clusters and with."""
+    rng = np.random.default_rng(clusters)
+    middle = rng.normal(size=(clusters, 24)) * (clusters > 1) * 1.5
+    x = middle[rng.integers(0, clusters, 30_000)] + rng.normal(size=(30_000, 24))
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))}))
+    got = found(ann.nearest(frame, F.col("vec_id") % 100 == 0, k=5, again=64, block=1024, cell=1000))
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for n in range(0, len(x), 100):
+        near = unit @ unit[n]
+        near[n] = -2
+        hits += len(set(np.argsort(-near)[:5].tolist()) & {v for v, _ in got[n]})
+    assert len(got) == 300 and hits / 1500 >= 0.93, hits / 1500
+    cells = ann.Cells(unit[:8192], 30, 5)
+    assert len(cells.centre) == 30 and (cells.probes < 15 if clusters > 1 else cells.probes > 3)
+
+
+def test_blocks_ties_and_odd_rows(spark, monkeypatch):
     rng = random.Random(2)
     same = [rng.uniform(-1, 1) for _ in range(8)]
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(1, 120)]
@@ -55,8 +77,9 @@ def test_blocks_ties_and_odd_rows(spark):
     rows += [(153, [float("nan")] + [1.0] * 7), (154, [float("inf")] + [1.0] * 7), (None, same), (155, [1.0, 2.0]), (300, [2 * x for x in rows[4][1]])]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, block string")
     wanted = brute([r for r in rows if not r[1] or len(r[1]) == 8], 10, 5)
-    for block in (1000, 16):
-        got = found(ann.nearest(frame, F.col("vec_id") % 10 == 0, k=5, again=1000, block=block))
+    monkeypatch.setattr(ann.Cells.__init__, "__defaults__", (1.0, 512, 8, 2))
+    for block, cell in ((1000, 8192), (16, 8192), (7, 30)):
+        got = found(ann.nearest(frame, F.col("vec_id") % 10 == 0, k=5, again=1000, block=block, cell=cell))
         assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items()}
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert found(ann.nearest(few, F.col("vec_id") == 1)).keys() == {1} and len(found(ann.nearest(few, F.col("vec_id") == 1))[1]) == 2
