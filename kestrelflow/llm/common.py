@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at a time; a longer document is a step of its own.
 STEP_BYTES = 1 << 18
+#: A key with more than one in so many of all rows is hot; fewer than so many keys are.
+HOT = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,26 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame, members: str, total: int) -> list[Row]:
+    """The rows of `counts` (a row for each key) whose key has more than one in HOT of all rows: fewer than HOT."""
+    return counts.where(F.col(members) * HOT > total).collect()
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """rows joined with a table of one row for each key, none of which is a text.
+
+    `members` of the table is how many rows have the key (or more), `total` a bound of its sum. Keys
+    of many rows are joined by a broadcast of their fewer than HOT table rows, so a hot key's rows
+    stay where they are.
+    """
+    hot = hot_keys(table, members, total)
+    if not hot:
+        return rows.join(table, key)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, table.schema))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.where(F.col(members) * HOT <= total), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def shared(spark: SparkSession, thing) -> Callable:
     """A function that gives tasks this object: its attributes are broadcast, its class travels with the function."""
     held, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import settled
+from kestrelflow.llm.common import lookup, settled
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,19 +13,20 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Every round hangs larger neighbours on the smallest one (first from each node's larger side,
     then from its smaller side) until no link moves. Minima come from aggregation and a join, so no
-    node's neighbour list is ever gathered. Loops and nulls are ignored; no links give no rows.
+    node's neighbour list is ever gathered; nodes of many links are joined by a broadcast. Loops and
+    nulls are ignored; no links give no rows.
     """
     edges = settled(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("members")))
+        large = lookup(both.where("v > u"), least, "u", "members", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")  # repeated links do no harm here
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")))
+        hung = lookup(large, least, "u", "members", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settled(hung.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if state == before:

@@ -22,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelflow.llm.common import (
+    HOT,
     WordHasher,
     arrow_rows,
     ascii_space,
+    hot_keys,
+    lookup,
     mix,
     odd_numbers,
     sequences,
@@ -129,21 +132,29 @@ def least_estimate(threshold: float, positions: int, deviations: float = 5.0) ->
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
+
+    `hub` is the end that may be in many pairs: its text goes to the texts of the other ends, a hub of
+    many pairs in several copies, so that its pairs are spread over tasks.
+    """
+    spark, pairs = pairs.sparkSession, settled(pairs.select("a", "b", "hub", (F.col("a") + F.col("b") - F.col("hub")).alias("end")))
+    counts, total = pairs.groupBy("hub").agg(F.count("*").alias("members")), pairs.count()
+    copies = [(r["hub"], -(-r["members"] * HOT // max(total, 1))) for r in hot_keys(counts, "members", total)]
+    hot = F.broadcast(spark.createDataFrame(copies, "hub long, copies long"))
+    pairs = pairs.join(hot, "hub", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("end"), F.col("copies")), F.lit(0)))
+    hubs = pairs.select("hub", "copy").distinct().join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_hub")), "hub")
+    ends = pairs.select("a", "b", "hub", "copy", "end").join(texts.select(F.col("doc_id").alias("end"), F.col("text").alias("text_end")), "end")
 
     def work(batch: pa.RecordBatch):
         hasher, keep = WordHasher(ascii_space()), []
-        sets = zip(
-            shingle_sets(batch.column("text_a"), size, hasher), shingle_sets(batch.column("text_b"), size, hasher), strict=True
-        )
-        for x, y in sets:
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        hub_texts = batch.column("text_hub").dictionary_encode()
+        hub_sets = list(shingle_sets(hub_texts.dictionary, size, hasher))
+        for x, y in zip(shingle_sets(batch.column("text_end"), size, hasher), hub_texts.indices.to_pylist(), strict=True):
+            both, other = len(np.intersect1d(x, hub_sets[y], assume_unique=True)), len(hub_sets[y])
+            keep.append(100 * both >= percent * (len(x) + other - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), work, "a long, b long")
+    return arrow_rows(ends.join(hubs, ["hub", "copy"]).select("a", "b", "text_end", "text_hub"), work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
@@ -155,47 +166,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     shingle. A null doc_id is linked with nothing and has a null component. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settled(signatures(docs, shingle, bands, rows))
+    signed = stored(signatures(docs, shingle, bands, rows), "neardup-signed")
     full = signed.where("n > 0 and doc_id is not null")
     ratio, least = percent / 100, least_estimate(percent / 100, bands * rows)
 
     # Equal sets have equal bands and signatures, so any of them will do.
     one = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    one = settled(one)
+    one = stored(one, "neardup-sets")
     same = full.select("doc_id", "set_a", "set_b", "n").join(one.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"])
     same = settled(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     reps = one.select("rep", "n", "bands", "sig")
 
-    members = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
-    buckets = members.groupBy("key").agg(F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"))
-    shared = settled(members.join(buckets.where("members > 1"), "key").select("key", "rep", "pivot"))
+    members, total = reps.select("rep", F.explode("bands").alias("key")), one.count() * bands
+    buckets = members.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"))
+    shared = lookup(members, stored(buckets.where("members > 1"), "neardup-buckets"), "key", "members", total)
+    shared = stored(shared.select("key", "rep", "pivot", "members"), "neardup-shared")
     traits = reps.select("rep", "n", "sig")
-    texts = stored(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-texts")
-
-    paired = shared.where("rep <> pivot").select("key", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    tried = paired.select("a", "b").distinct()
-    for end in ("a", "b"):
-        tried = tried.join(traits.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
-    near = (F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")) & (
-        estimated(F.col("sig_a"), F.col("sig_b"), bands * rows) >= least
-    )
-    tried = settled(tried.where(near).select("a", "b"))
+    texts = stored(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "neardup-texts")
+
+    paired = _pairs(shared, "pivot")
+    pairs = stored(paired.groupBy("a", "b").agg(F.min("hub").alias("hub")), "neardup-pairs")
+    often = pairs.groupBy("hub").agg(F.count("*").alias("members")).join(traits.withColumnsRenamed({"rep": "hub", "n": "n_hub", "sig": "sig_hub"}), "hub")
+    ends = pairs.withColumn("rep", F.col("a") + F.col("b") - F.col("hub")).join(traits, "rep")
+    ends = lookup(ends, settled(often), "hub", "members", pairs.count())
+    near = (F.least("n", "n_hub") >= ratio * F.greatest("n", "n_hub")) & (estimated(F.col("sig"), F.col("sig_hub"), bands * rows) >= least)
+    tried = settled(ends.where(near).select("a", "b", "hub"))
     links = settled(confirmed(tried, texts, shingle, percent))
 
     # Where a member isn't linked to the pivot, the bucket meets its best linked member.
-    unsettled = paired.join(links, ["a", "b"], "left_anti").select("key").distinct()
+    unsettled = settled(paired.join(links, ["a", "b"], "left_anti").select("key", F.col("bucket").alias("members")).distinct())
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-    open_rows = shared.select("key", "rep").join(unsettled, "key").join(degree, "rep", "left").select("key", "rep", F.coalesce("degree", F.lit(0)).alias("degree"))
-    open_rows = open_rows.repartition("key")
-    hubs = open_rows.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("hub"))
-    second = open_rows.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    second = settled(second.distinct().join(tried, ["a", "b"], "left_anti"))
+    open_rows = lookup(shared.select("key", "rep"), unsettled, "key", "members", total)
+    open_rows = stored(open_rows.join(degree, "rep", "left").select("key", "rep", F.coalesce("degree", F.lit(0)).alias("degree")), "neardup-degree")
+    best = F.shiftleft(F.least("degree", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
+    hubs = settled(open_rows.groupBy("key").agg(F.max_by("rep", best).alias("hub"), F.count("*").alias("members")))
+    second = _pairs(lookup(open_rows.select("key", "rep"), hubs, "key", "members", total), "hub")
+    second = settled(second.groupBy("a", "b").agg(F.min("hub").alias("hub")).join(tried, ["a", "b"], "left_anti"))
     links = settled(links.unionByName(confirmed(second, texts, shingle, percent)))
     tried = tried.unionByName(second)
 
     # What is left: members of one bucket in different components.
     known = settled(connected_components(links))
-    open_rows = settled(_mixed(shared, known))
+    open_rows = stored(_mixed(shared, known, total), "neardup-mixed")
     open_texts = stored(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-open")
     lone = _lone_shingles(open_texts, shingle).withColumnRenamed("doc_id", "rep")
     finer = signatures(open_texts, shingle, 1, FINER).select(F.col("doc_id").alias("rep"), F.col("sig").alias("fine"), "n")
@@ -210,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         & (estimated(F.col("x.sig"), F.col("y.sig"), bands * rows) >= least)
         & (estimated(F.col("x.fine"), F.col("y.fine"), FINER) >= least_estimate(percent / 100, FINER))
         & F.expr("x.key = array_intersect(x.bands, y.bands)[0]"),
-    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.rep").alias("hub"))
     rest = settled(confirmed(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
 
     stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -219,12 +231,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, hub: str) -> DataFrame:
+    """(key, bucket, a, b, hub) of the rows' members with their bucket's hub; `bucket` is its count of members."""
+    pair = F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")
+    return rows.where(F.col("rep") != F.col(hub)).select("key", F.col("members").alias("bucket"), *pair, F.col(hub).alias("hub"))
+
+
+def _mixed(shared: DataFrame, known: DataFrame, total: int) -> DataFrame:
     """(key, rep, label) of the buckets whose members lie in several components so far."""
     labelled = shared.select("key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return labelled.join(mixed.select("key"), "key")
+    labelled = stored(labelled.select("key", "rep", F.coalesce("component", "rep").alias("label")), "neardup-labels")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    return lookup(labelled, settled(mixed.select("key", "members")), "key", "members", total).drop("members")
 
 
 def _lone_shingles(texts: DataFrame, size: int) -> DataFrame:
