@@ -60,5 +60,24 @@ def dot(a: Column, b: Column, bias: float | Column = 0.0) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), start, lambda s, x: s + x)
 
 
+def name_number(name: Column) -> Column:
+    """The whole number at the end of a name such as sensor_11; null where there is none."""
+    return F.regexp_extract(name, r"_([0-9]+)\z", 1).try_cast("int")
+
+
+def iso_utc(at: Column) -> Column:
+    """A UTC time in ISO form with seconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def percent(share: Column) -> Column:
+    """A share as percent with one digit."""
+    return F.format_string("%.1f%%", 100 * share)
+
+
 def array_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)

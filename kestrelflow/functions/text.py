@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,8 @@ def masked_tokens(prompt_ids: Column, response_ids: Column, length: int, begin:
     The prompt starts with `begin` and has ignored labels; the response ends with `end`; both are
     padded with `end`. What is too long is never cut: its arrays are null and `fits` is false.
     """
+    if type(length) is not int or length < 1:
+        raise ValueError("length must be a positive whole number")
     head = F.concat(F.array(F.lit(begin)), prompt_ids)
     tail = F.concat(response_ids, F.array(F.lit(end)))
     used = F.size(head) + F.size(tail)
@@ -108,12 +111,38 @@ def with_prefix(mask: Column, labels: Column, prefix: int, ignore: int = -100) -
     return F.concat(F.array_repeat(F.lit(1), prefix), mask), F.concat(F.array_repeat(F.lit(ignore), prefix), labels)
 
 
-def word_ids(text: Column, first: int = 10, most: int | None = None) -> Column:
-    """Ids of the words between white space, in order of first appearance within the text.
+def is_blank(prompt: Column) -> Column:
+    """True for a null prompt and one of white space only, which nothing can be asked with."""
+    return F.coalesce(F.length(F.regexp_replace(prompt, r"\s+", "")) == 0, F.lit(True))
 
-    With `most`, texts of more words get as many zeros instead: they are too long for use, and their
-    number of words is all that tells so.
-    """
+
+def word_ids(text: Column, first: int = 10, size: int = 1 << 30) -> Column:
+    """An id from `first` on for each word between white space, by a hash of the word; one pass over texts of any length."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    ids = lambda: F.transform(words, lambda w: (F.array_position(F.array_distinct(words), w) + first - 1).cast("int"))
-    return ids() if most is None else F.when(F.size(words) <= most, ids()).otherwise(F.array_repeat(F.lit(0), F.size(words)))
+    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(size)) + first).cast("int"))
+
+
+def token_ids(make: Callable[[], Callable[[str], list[int]]]) -> Callable[[Column], Column]:
+    """A column function of any tokenizer: `make` gives, once a batch of rows, what encodes one text without special tokens."""
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        own = make()
+        return texts.map(lambda t: None if t is None else own(t))
+
+    return encode
+
+
+#: Questions a user may start from, by name.
+PRESETS = {
+    "state": "What state is the unit in, and why?",
+    "remaining": "How many cycles remain before the unit has to be taken out of service?",
+    "upkeep": "Which component should maintenance look at first?",
+    "route": "Is the unit fit for the planned route?",
+}
+
+
+def prompt_preset(name: str) -> str:
+    if name not in PRESETS:
+        raise ValueError(f"no preset {name}; there are {', '.join(sorted(PRESETS))}")
+    return PRESETS[name]

@@ -32,6 +32,16 @@ def relative_reduction(ours: Column, baseline: Column) -> Column:
     return F.when(baseline > 0, F.round((1 - ours / baseline) * 100, 2))
 
 
+def any_failed(long: DataFrame) -> DataFrame:
+    """(model, any_failed): whether a model has a prediction that is null or isn't finite."""
+    return long.groupBy("model").agg(F.bool_or(~F.coalesce(is_finite(F.col("prediction")), F.lit(False))).alias("any_failed"))
+
+
+def joint_loss(text_loss: Column, predicted: Column, truth: Column, weight: float = 0.01) -> Column:
+    """The loss of two tasks: that of the text, and the squared error of the number by its weight."""
+    return text_loss + F.lit(weight) * F.pow(predicted - truth, 2)
+
+
 def long_predictions(rows: DataFrame, models: list[str]) -> DataFrame:
     """(unit, cycle, truth, model, prediction) of one column per model."""
     return rows.unpivot(["unit", "cycle", "truth"], models, "model", "prediction")

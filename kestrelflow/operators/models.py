@@ -27,6 +27,20 @@ def with_training_mean(windows: DataFrame) -> DataFrame:
     return windows.crossJoin(F.broadcast(training_mean(windows)))
 
 
+#: Predictors of one column that need no training but what is in the windows, by name.
+REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "static-schedule": lambda windows: windows.withColumn("prediction", static_schedule(F.col("cycle"))),
+    "training-mean": lambda windows: with_training_mean(windows).withColumnRenamed("training_mean", "prediction"),
+}
+
+
+def registered(name: str) -> Callable[[DataFrame], DataFrame]:
+    """The predictor of that name, a function of windows that adds `prediction`."""
+    if name not in REGISTRY:
+        raise ValueError(f"no predictor {name}; there are {', '.join(sorted(REGISTRY))}")
+    return REGISTRY[name]
+
+
 def fit_ridge(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0) -> LinearRegressionModel:
     """Ridge regression with an unpenalised intercept, as the closed form (X'X + alpha I) on centred data has it.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrelflow.operators.validate import fits_float
 from kestrelflow.operators.windows import long_series, overlap_weights
 
 #: A smaller deviation counts as a constant channel, whose scale is 1.
@@ -17,6 +18,10 @@ def scale_of(deviation: Column) -> Column:
     return F.when(deviation < LEAST_SCALE, 1.0).otherwise(deviation)
 
 
+def as_float(x: Column, what: str) -> Column:
+    return F.when(x.isNull() | fits_float(x), x.cast("float")).otherwise(F.raise_error(F.lit(f"{what}: a normalised value is out of a float's range")).cast("float"))
+
+
 def fit_on_windows(windows: DataFrame, channels: Sequence[str]) -> DataFrame:
     """(channel, mean, scale, samples) over all values of the training windows, overlaps counted again."""
     values = long_series(windows.where("split = 'train'"), channels).select("channel", F.explode("values").alias("v"))
@@ -46,14 +51,17 @@ def fit_on_rows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride
 
 
 def transform(windows: DataFrame, stats: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """The windows with `normal`, a struct of float arrays (x - mean) / scale. `stats` has a row per channel."""
+    """The windows with `normal`, a struct of float arrays (x - mean) / scale. `stats` has a row per channel.
+
+    A value that a float can't hold stops the job.
+    """
     by = {r["channel"]: (r["mean"], r["scale"]) for r in stats.where(F.col("channel").isin(list(channels))).collect()}
     missing = [c for c in channels if c not in by]
     if missing:
         raise ValueError(f"no statistics of {missing}")
     def normal(channel: str) -> Column:
         mean, scale = by[channel]
-        return F.transform(F.col("series")[channel], lambda x: ((x - mean) / scale).cast("float")).alias(channel)
+        return F.transform(F.col("series")[channel], lambda x: as_float((x - mean) / scale, channel)).alias(channel)
 
     arrays = map(normal, channels)
     return windows.withColumn("normal", F.struct(*arrays))

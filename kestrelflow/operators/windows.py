@@ -31,6 +31,35 @@ def is_window_end(size: int, stride: int) -> Column:
     return (c >= size) & ((F.pmod(c - size, F.lit(stride)) == 0) | (c == life))
 
 
+def too_short(rows: DataFrame, size: int) -> DataFrame:
+    """(unit, life) of the units whose life is shorter than a window, which would have none."""
+    whole_number(size, "size")
+    return lifetimes(rows).where(F.col("life") < size).select("unit", "life")
+
+
+def require_size(rows: DataFrame, size: int) -> None:
+    """Raises ValueError if a window is longer than the shortest life."""
+    shortest = lifetimes(rows).agg(F.min("life")).first()[0]
+    if shortest is not None and shortest < whole_number(size, "size"):
+        raise ValueError(f"windows of {size} cycles, but a unit has {shortest} only")
+
+
+def window_size(windows: DataFrame) -> Column:
+    """The field window_size where it is there and not null, else the length of the first channel's series."""
+    series = windows.schema["series"].dataType
+    length = F.size(F.col("series")[series.fieldNames()[0]])
+    return F.coalesce(F.col("window_size"), length) if "window_size" in windows.columns else length
+
+
+#: What tells the remaining life; not for predictors.
+TARGETS = ("rul", "status", "target", "rationale", "life", "horizon", "urgency")
+
+
+def inference_view(windows: DataFrame, with_targets: bool = False) -> DataFrame:
+    """The windows without what tells the remaining life, unless targets are asked for."""
+    return windows if with_targets else windows.drop(*TARGETS)
+
+
 def strided_windows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5) -> DataFrame:
     """(unit, cycle, window_start, rul, split if there, series): one row per window, series a struct of arrays.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from kestrelflow.functions import numbers as N
 from kestrelflow.functions import text as T
 from kestrelflow.operators import assess, catalog, labels, metrics, models, normalize, validate, windows
 from kestrelflow.sources import files, raw_text, sinks
-from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, table, telemetry
+from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, table, telemetry, with_provenance
 from kestrelflow.streaming import windows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,7 +256,9 @@ def rolling_mean_5(spark, sf_dir):
 )
 def window_features(spark, sf_dir):
     """Five statistics of each channel and window, from frames alone."""
-    f = featured(spark, sf_dir)
+    place = f"{files.scratch(spark)}/features-{uuid.uuid4().hex}"
+    featured(spark, sf_dir).write.partitionBy("split").parquet(place)  # once, for the fit and the predictions
+    f = spark.read.parquet(place)
     names = [n for n in windows.feature_names(CHANNELS) if "15" not in n]
     return f.select("unit", "cycle", "rul", "split", *((F.round(n, 6) + F.lit(0.0)).alias(n) for n in names))
 
@@ -673,7 +674,7 @@ SELECT doc_id, n + 4 <= 64 AS fits, CASE WHEN n + 4 <= 64 THEN CAST(64 AS INTEGE
 def token_mask_pad(spark, sf_dir):
     """Documents as prompts with a two-word response, padded to 64; longer ones don't fit and are never cut."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    m = d.select("doc_id", T.masked_tokens(T.word_ids(F.col("text"), most=64), F.array(F.lit(98), F.lit(99)), 64).alias("m"))
+    m = d.select("doc_id", T.masked_tokens(T.word_ids(F.col("text")), F.array(F.lit(98), F.lit(99)), 64).alias("m"))
     count = lambda a, v: F.size(F.filter(a, v))
     fits = F.col("m.fits")
     return m.select(
@@ -746,6 +747,114 @@ def first_cycles(spark, sf_dir):
     return e.select("event_id", "rank", F.col("user_id").cast("int").alias("unit"))
 
 
+# Checks, views and formats of records.
+
+
+@query(f"WITH {TELEMETRY} SELECT unit, CAST(max(cycle) AS INTEGER) AS life FROM telemetry GROUP BY unit HAVING max(cycle) < 70")
+def windows_too_long(spark, sf_dir):
+    """Units that windows of 70 cycles would leave out."""
+    return windows.too_short(telemetry(spark, sf_dir), 70)
+
+
+@query("SELECT event_id, abs(value * pow(10, event_id % 40)) < 3.4028235e38 AS fits FROM events")
+def float_range(spark, sf_dir):
+    """Whether scaled values stay finite as floats."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", validate.fits_float(F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 40)).alias("fits"))
+
+
+@query("SELECT event_id, length(regexp_replace(p, '\\s', '', 'g')) = 0 AS blank FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(9) || ' ' || chr(10) WHEN 2 THEN ' x ' ELSE props END AS p FROM events)")
+def blank_prompts(spark, sf_dir):
+    """Prompts that hold white space only."""
+    k = F.col("event_id") % 4
+    p = F.when(k == 0, "").when(k == 1, "\t \n").when(k == 2, " x ").otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", T.is_blank(p).alias("blank"))
+
+
+@query("SELECT event_id, props FROM events ORDER BY event_id LIMIT 100")
+def sample_limit(spark, sf_dir):
+    """The first hundred lines, for a smoke run."""
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("line"), F.col("props").alias("value"))
+    return raw_text.first_lines(lines, 100).select(F.col("line").alias("event_id"), F.col("value").alias("props"))
+
+
+@query(f"WITH {WINDOWS} SELECT unit, cycle, window_start, 'test tables' AS source, 'events' AS name, CAST(30 AS INTEGER) AS size FROM windows")
+def provenance_struct(spark, sf_dir):
+    """Windows with the same facts on where they come from in each row."""
+    w = with_provenance(strided(spark, sf_dir), source="test tables", name="events", size=SIZE)
+    return w.select("unit", "cycle", "window_start", "provenance.source", "provenance.name", "provenance.size")
+
+
+@query(f"WITH {WINDOWS}, {RECORDS} SELECT record_id, unit, cycle, window_start, split FROM records")
+def inference_view(spark, sf_dir):
+    """Windows without what tells the remaining life."""
+    w = windows.inference_view(strided(spark, sf_dir).withColumn("status", labels.band(F.col("rul"))))
+    return w.select(*(c for c in w.columns if c != "series"))
+
+
+@query(f"WITH {WINDOWS} SELECT unit, cycle, CAST(CASE WHEN unit % 2 = 0 THEN 25 ELSE 30 END AS INTEGER) AS window_size FROM windows")
+def window_size_of(spark, sf_dir):
+    """The size a record states, or else the length of its series."""
+    w = strided(spark, sf_dir).withColumn("window_size", F.when(F.col("unit") % 2 == 0, 25))
+    return w.select("unit", "cycle", windows.window_size(w).alias("window_size"))
+
+
+@query(f"WITH {WINDOWS}, {RECORDS} SELECT record_id, target, sensor_4 AS last_4 FROM records WHERE split = 'test'")
+def record_join(spark, sf_dir):
+    """Records meet their series again by record id."""
+    d = described(spark, sf_dir)
+    series = d.select("record_id", F.element_at("series.sensor_4", -1).alias("last_4"))
+    return d.where("split = 'test'").select("record_id", "target").join(series, "record_id")
+
+
+@query(f"WITH {WINDOWS}, {PREDICTIONS} SELECT model, bool_or(prediction IS NULL) AS any_failed FROM long GROUP BY model")
+def any_failed(spark, sf_dir):
+    """Which models have failed at least once."""
+    return metrics.any_failed(metrics.long_predictions(predictions(spark, sf_dir), MODELS))
+
+
+@query(f"WITH {WINDOWS}, {PREDICTIONS} SELECT unit, cycle, model, round(prediction, 6) AS prediction FROM (SELECT unit, cycle, 'static-schedule' AS model, schedule AS prediction FROM p UNION ALL SELECT unit, cycle, 'training-mean', mean FROM p)")
+def registered_predictors(spark, sf_dir):
+    """Test windows' predictions of every registered predictor."""
+    ends = windows.with_life(telemetry(spark, sf_dir).select("unit", "cycle", "split")).where(windows.is_window_end(SIZE, STRIDE))
+    parts = [models.registered(name)(ends).where("split = 'test'").select("unit", "cycle", F.lit(name).alias("model"), F.round("prediction", 6).alias("prediction")) for name in models.REGISTRY]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"SELECT channel, CAST(split_part(channel, '_', 2) AS INTEGER) AS number FROM (SELECT unnest([{', '.join(repr(c) for c in CHANNELS)}]) AS channel)")
+def channel_numbers(spark, sf_dir):
+    """The numbers in the channels' names."""
+    names = telemetry(spark, sf_dir).limit(1).unpivot([], list(CHANNELS), "channel", "v")
+    return names.select("channel", N.name_number(F.col("channel")).alias("number"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def iso_times(spark, sf_dir):
+    """Times of events in ISO form."""
+    return table(spark, sf_dir, "events").select("event_id", N.iso_utc(F.col("ts")).alias("at"))
+
+
+@query("SELECT l_returnflag AS flag, format('{:,}', count(*)) AS lines, printf('%.1f%%', 100.0 * count(*) / (SELECT count(*) FROM lineitem)) AS share FROM lineitem GROUP BY l_returnflag")
+def report_numbers(spark, sf_dir):
+    """Counts with thousands separators and shares as percent."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))  # over the few flags
+    return lines.select(F.col("l_returnflag").alias("flag"), N.thousands(F.col("n")).alias("lines"), N.percent(share).alias("share"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in T.PRESETS.items()) + ") p(name, prompt)")
+def prompt_presets(spark, sf_dir):
+    """Questions a user may start from."""
+    return spark.createDataFrame([(k, T.prompt_preset(k)) for k in T.PRESETS], "name string, prompt string")
+
+
+@query("SELECT event_id, round(value + CAST(0.01 AS DOUBLE) * pow(value - CAST(json_extract_string(props, '$.k') AS DOUBLE), 2), 6) AS loss FROM events")
+def joint_loss(spark, sf_dir):
+    """The loss of two tasks, of which one weighs a hundredth."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.round(metrics.joint_loss(F.col("value"), F.col("value"), F.get_json_object("props", "$.k").cast("double")), 6).alias("loss"))
+
+
 # Queries that SQL doesn't express.
 
 
@@ -788,16 +897,16 @@ def windows_digest(spark, sf_dir):
     return files.rows_digest(strided(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {WINDOWS} SELECT unit, cycle, sensor_4_drift AS drift_4 FROM windows")
 def stream_windows(spark, sf_dir):
     """The windows of a stream of events, which needs a marker for a unit's last cycle."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = windows.with_life(telemetry(spark, sf_dir)).withColumn("ended", F.col("cycle") == F.col("life"))
-    place = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{files.scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = rows.select("unit", "cycle", "sensor_4", "sensor_9", "ended")
     rows.write.parquet(f"{place}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
-    found = streaming.run_to_table(streaming.stream_windows(stream, ["sensor_4", "sensor_9"], SIZE, STRIDE), f"w{uuid.uuid4().hex}", f"{place}/state")
+    found = streaming.run_to_files(streaming.stream_windows(stream, ["sensor_4", "sensor_9"], SIZE, STRIDE), f"{place}/out", f"{place}/state")
     return found.select("unit", "cycle", labels.endpoint_drift(F.col("sensor_4")).alias("drift_4"))
 
 

@@ -9,7 +9,7 @@ import tempfile
 import urllib.request
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -34,13 +34,8 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def record_at(rows: DataFrame, split: str, position: int) -> DataFrame:
-    """The row at a place (from 0) of a split ordered by unit and cycle. Units before it are skipped by their counts."""
-    own = rows.where(F.col("split") == split)
-    counts = own.groupBy("unit").agg(F.count("*").alias("n"))
-    before = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    unit = before.where(F.lit(position).between(F.col("first"), F.col("first") + F.col("n") - 1))
-    nth = F.row_number().over(Window.partitionBy("unit").orderBy("cycle")) - 1 + F.col("first")
-    return own.join(F.broadcast(unit.select("unit", "first")), "unit").withColumn("_nth", nth).where(F.col("_nth") == position).drop("_nth", "first")
+    """The row at a place (from 0) of a split ordered by unit and cycle; Spark's tasks keep that many rows at most."""
+    return rows.where(F.col("split") == split).orderBy("unit", "cycle").offset(position).limit(1)
 
 
 def lookup(rows: DataFrame, unit: int, cycle: int) -> Row:
@@ -187,3 +182,13 @@ def rows_digest(rows: DataFrame) -> DataFrame:
     part = lambda i: F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
     sums = each.agg(F.count("*").alias("rows"), *(part(i).alias(f"_{i}") for i in range(4)))
     return sums.select("rows", F.sha2(F.concat_ws(",", *(F.col(f"_{i}").cast("string") for i in range(4))), 256).alias("digest"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder all executors share: spark.checkpoint.dir, or a new local one where Spark runs locally."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="kestrelflow-")

@@ -29,6 +29,11 @@ def fleet_split(unit: Column) -> Column:
     return out
 
 
+def with_provenance(rows: DataFrame, **facts) -> DataFrame:
+    """The rows with `provenance`, a struct of the same facts for every row."""
+    return rows.withColumn("provenance", F.struct(*(F.lit(v).alias(k) for k, v in facts.items())))
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(unit, cycle, channels, split) of events: a user's events in order of time are a unit's cycles."""
     # Windows go by unit as it is given out, so that later ones by unit need no shuffle of their own.
