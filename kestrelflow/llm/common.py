@@ -20,8 +20,10 @@ HOT = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset and Spark runs locally."""
     place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not place:
         place = tempfile.mkdtemp(prefix="kestrelflow-")
         spark.conf.set("spark.checkpoint.dir", place)
