@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelflow.llm.align import banded_edits
-from kestrelflow.llm.common import shared, steps, utf8
+from kestrelflow.llm.common import shared, small_batches, steps, utf8
 
 #: Characters of benchmark text that one broadcast index holds; more is searched in several passes.
 BLOCK_CHARS = 8_000_000
@@ -213,7 +213,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0
                         ["doc_id", "item_id", "edits", "item_chars", "start", "end"],
                     )
 
-        part = docs.mapInArrow(run, schema)
+        part = small_batches(docs).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -232,5 +232,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate:
                     clean[own.matches(data[a : offsets[j]], offsets[i : j + 1] - a, shape)[0] + i] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

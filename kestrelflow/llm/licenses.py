@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelflow.llm.align import banded_edits
-from kestrelflow.llm.common import WordHasher, not_letter, sequences, shared, span_hashes, steps, utf8
+from kestrelflow.llm.common import WordHasher, not_letter, sequences, shared, small_batches, span_hashes, steps, utf8
 
 #: Public license notices and texts.
 TEMPLATES = {
@@ -213,4 +213,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, license string, words long, edits long, coverage double, start long, end long")
+    return small_batches(docs).mapInArrow(run, f"doc_id {kind}, license string, words long, edits long, coverage double, start long, end long")

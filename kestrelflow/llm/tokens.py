@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import same_spans, shared, span_hashes, steps, utf8
+from kestrelflow.llm.common import same_spans, shared, small_batches, span_hashes, steps, utf8
 
 NONE = np.iinfo(np.int32).max
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -251,4 +251,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

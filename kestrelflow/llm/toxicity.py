@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import LOW_BYTES, WordHasher, blocks_of, mix, not_letter, shared, span_hashes, steps, utf8
+from kestrelflow.llm.common import LOW_BYTES, WordHasher, blocks_of, mix, not_letter, shared, small_batches, span_hashes, steps, utf8
 
 #: Terms for groups of people, by kind; a term is swapped for the next of its row.
 IDENTITY_TERMS = (
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST_ROWS, pe
                 ["doc_id", "version", "toxic", "ids"],
             )
 
-    rows = sample(docs, labels, most).mapInArrow(run, "doc_id long, version int, toxic int, ids array<int>")
+    rows = small_batches(sample(docs, labels, most)).mapInArrow(run, "doc_id long, version int, toxic int, ids array<int>")
     got = rows.toArrow()
     order = np.lexsort((got.column("version").to_numpy(), got.column("doc_id").to_numpy()))
     toxic, version = got.column("toxic").to_numpy()[order], got.column("version").to_numpy()[order]
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {kind}, score double")
+    out = small_batches(docs).mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -244,4 +244,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(own.scores(batch.column("text"), features) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
