@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +49,21 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Frees disk: deletes tables made by stored() that nothing reads again, and has Spark clean up after frames that are gone.
+
+    Spark removes shuffle and checkpoint files when the driver's garbage collector finds their frame
+    unreachable, which may be long after a job that needs the room has begun.
+    """
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            place.getFileSystem(hadoop).delete(place, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def hot_keys(counts: DataFrame, members: str, total: int) -> list[Row]:
     """The rows of `counts` (a row for each key) whose key has more than one in HOT of all rows: fewer than HOT."""
     return counts.where(F.col(members) * HOT > total).collect()

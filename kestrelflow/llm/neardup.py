@@ -27,6 +27,7 @@ from kestrelflow.llm.common import (
     ascii_space,
     mix,
     odd_numbers,
+    released,
     sequences,
     settled,
     steps,
@@ -155,6 +156,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     shingle. A null doc_id is linked with nothing and has a null component. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    released(spark)
     signed = settled(signatures(docs, shingle, bands, rows))
     full = signed.where("n > 0 and doc_id is not null")
     ratio, least = percent / 100, least_estimate(percent / 100, bands * rows)
@@ -194,6 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     tried = tried.unionByName(second)
 
     # What is left: members of one bucket in different components.
+    released(spark)
     known = settled(connected_components(links))
     open_rows = settled(_mixed(shared, known))
     open_texts = stored(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-open")
@@ -212,6 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         & F.expr("x.key = array_intersect(x.bands, y.bands)[0]"),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = settled(confirmed(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
+    released(spark, texts, open_texts)
 
     stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     components = connected_components(same.unionByName(stars).unionByName(rest))
