@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+@contextmanager
+def run_once(spark: SparkSession):
+    """Queries made within are run once: Spark removes their shuffle files as soon as their result is written."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """The same rows, computed once and read back from the shared checkpoint folder."""
     shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    with run_once(frame.sparkSession):
+        return frame.select("*").checkpoint()
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder; use it for wide rows such as texts."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with run_once(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
