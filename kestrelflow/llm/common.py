@@ -84,7 +84,7 @@ def hot_keys(counts: DataFrame, members: str, total: int) -> list[Row]:
     return counts.where(F.col(members) * HOT > total).collect()
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, members: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], members: str, total: int) -> DataFrame:
     """rows joined with a table of one row for each key, none of which is a text.
 
     `members` of the table is how many rows have the key (or more), `total` a bound of its sum. Keys

@@ -12,28 +12,28 @@ def connected_components(links: DataFrame) -> DataFrame:
     """Each end of the links (a, b: long) with the smallest id it reaches, as (node, component).
 
     Every round hangs larger neighbours on the smallest one (first from each node's larger side,
-    then from its smaller side) until no link moves. Minima come from aggregation and a join, so no
+    then from its smaller side) until all links are stars. Minima come from aggregation and a join, so no
     node's neighbour list is ever gathered; nodes of many links are joined by a broadcast. Loops and
     nulls are ignored; no links give no rows.
     """
     edges = settled(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
+        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("members")))
-        large = lookup(both.where("v > u"), least, "u", "members", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = lookup(both.where("v > u"), least, "u", "members", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")  # repeated links do no harm here
         least = settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")))
-        hung = lookup(large, least, "u", "members", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = lookup(large, least, "u", "members", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settled(hung.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(edges)
-        if state == before:
-            break
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one smaller node, or has only larger ones hanging on it: then those are the components."""
+    down = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    centres = edges.select(F.col("v").alias("u"), F.lit(True).alias("centre")).distinct()
+    return down.join(centres, "u", "left").where("lo <> hi or centre").isEmpty()

@@ -25,6 +25,7 @@ from kestrelflow.llm.common import (
     WordHasher,
     arrow_rows,
     ascii_space,
+    lookup,
     mix,
     odd_numbers,
     released,
@@ -152,8 +153,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Takes doc_id (long) and text; other columns are ignored. Returns (doc_id, n_shingles,
     component_id) with a row for each input row, repeated rows included. Null or wordless texts
-    have no shingles and are linked with nothing; texts of fewer words than a shingle are one
-    shingle. A null doc_id is linked with nothing and has a null component. No rows give no rows.
+    have no shingles and are linked with nothing, but rows of one id have its one component; texts of
+    fewer words than a shingle are one shingle. A null doc_id is linked with nothing and has a null component. No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
@@ -163,10 +164,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     ratio, least = percent / 100, least_estimate(percent / 100, bands * rows)
 
     # Equal sets have equal bands and signatures, so any of them will do.
-    one = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    one = settled(one)
-    same = full.select("doc_id", "set_a", "set_b", "n").join(one.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"])
-    same = settled(same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    sets = ["set_a", "set_b", "n"]
+    one = settled(
+        full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    )
+    repeated = _ids_of_several_sets(signed, one, sets)
     reps = one.select("rep", "n", "bands", "sig")
 
     members = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     # What is left: members of one bucket in different components.
     released(spark)
-    known = settled(connected_components(links))
+    known = settled(connected_components(links.unionByName(repeated)))
     open_rows = settled(_mixed(shared, known))
     open_texts = stored(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-open")
     lone = _lone_shingles(open_texts, shingle).withColumnRenamed("doc_id", "rep")
@@ -216,12 +218,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         & F.expr("x.key = array_intersect(x.bands, y.bands)[0]"),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = settled(confirmed(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
-    released(spark, texts, open_texts)
 
-    stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    components = connected_components(same.unionByName(stars).unionByName(rest))
-    out = signed.join(components, signed.doc_id == components.node, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    components = known
+    if not rest.isEmpty():
+        stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        components = connected_components(stars.unionByName(rest))
+    label = F.coalesce("component", "rep").alias("component_id")
+    of_sets = settled(one.select(*sets, "rep", "copies").join(components, F.col("rep") == F.col("node"), "left").select(*sets, "copies", label))
+    released(spark, texts, open_texts)  # not before, as stages that Spark has left unfinished may still read them
+    out = lookup(full.select("doc_id", *sets), of_sets, sets, "copies", full.count())
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = signed.where("n = 0 or doc_id is null").join(components, F.col("doc_id") == F.col("node"), "left")
+    return out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def _ids_of_several_sets(signed: DataFrame, one: DataFrame, sets: list[str]) -> DataFrame:
+    """Links (a, b) between an id whose rows have different sets, an empty one among them or not, and the least ids of those sets."""
+    extremes = signed.where("doc_id is not null").groupBy("doc_id")
+    extremes = extremes.agg(*(f(c).alias(f"{c}_{end}") for c in sets for end, f in (("lo", F.min), ("hi", F.max))))
+    several = settled(extremes.where(" or ".join(f"{c}_lo <> {c}_hi" for c in sets)).select("doc_id"))
+    of = signed.where("n > 0").select("doc_id", *sets).join(several, "doc_id", "left_semi").distinct().join(one.select(*sets, "rep"), sets)
+    return settled(of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
 
 def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:

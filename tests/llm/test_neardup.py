@@ -78,3 +78,32 @@ def test_components_of_a_path_and_a_star(spark):
     found = dict(connected_components(frame).collect())
     assert found == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 150)}
     assert connected_components(frame.limit(0)).count() == 0
+
+
+def test_components_by_union_find(spark):
+    import random
+
+    random.seed(5)
+    for most in (60, 150, 400):
+        links = [(random.randrange(most), random.randrange(most)) for _ in range(100)] + [(0, i) for i in range(0, most, 7)]
+        up = list(range(most))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        ends = {x for a, b in links if a != b for x in (a, b)}
+        found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted(found) == sorted((x, top(x)) for x in ends)
+
+
+def test_ids_with_several_texts_tie_their_sets(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(30))
+    rows = [(5, text("a")), (3, text("a")), (5, text("b")), (7, text("b")), (7, text("c")), (9, text("c")), (9, text("c")), (5, None), (1, text("d")), (8, text("d") + " e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(frame, 3, 85)) == brute(rows, 3, 85)
+    assert {r.component_id for r in near_duplicates(frame, 3, 85).where("n_shingles > 0").collect()} == {1, 3}
