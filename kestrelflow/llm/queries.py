@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelflow.llm import ann, chat, decontam, licenses, lines, mixing, neardup, tokens, toxicity, urls
+from kestrelflow.llm import ann, chat, decontam, licenses, lines, mixing, neardup, resample, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +148,47 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn by how much their words are like the benchmark's."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The CRC of each different word by its bytes and the table of remainders; buckets, gains, weights and the draw in SQL's own terms.
+RESAMPLE_SQL = r"""
+WITH remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, repeat([0], 8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t
+), texts AS (
+  SELECT true AS own, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT false, NULL, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+  SELECT own, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), bytes AS (
+  SELECT word, list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS b
+  FROM (SELECT DISTINCT word FROM words)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, remainders
+), counted AS (
+  SELECT bucket, count(*) FILTER (WHERE own) AS s, count(*) FILTER (WHERE NOT own) AS t FROM words JOIN hashed USING (word) GROUP BY bucket
+), sizes AS (
+  SELECT count(*) FILTER (WHERE own) AS s_all, count(*) FILTER (WHERE NOT own) AS t_all FROM words
+), gains AS (
+  SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (s_all + 10000) / (CAST(s + 1 AS DOUBLE) * (t_all + 10000)))) AS gain FROM counted, sizes
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight
+  FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE own GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 10 * count(*) OVER () // 100 AS drawn
+  FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= drawn THEN rank END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -160,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_decontam": op10_decontam,
+        "op11_resample": op11_resample,
     }
 
 
@@ -168,4 +210,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": CHAT_SQL,
         "op2_line_dedup": LINES_SQL,
         "op4_url_filter": URL_SQL,
+        "op11_resample": RESAMPLE_SQL,
     }
