@@ -55,12 +55,12 @@ def settled(frame: DataFrame) -> DataFrame:
         return frame.select("*").checkpoint()
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder; use it for wide rows such as texts."""
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, written with these options; use it for wide rows such as texts."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with run_once(spark):
-        frame.write.parquet(path)
+        frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -79,6 +79,19 @@ def released(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> tuple[int, bool]:
+    """The least count from which at most so many rows have it or more, found by a sixteenth of a power of two, and whether all rows do."""
+    part = F.floor(F.log2(n) * 16).alias("part")
+    parts = sorted(((r["part"], r["rows"], r["least"]) for r in counts.groupBy(part).agg(F.count("*").alias("rows"), F.min(n).alias("least")).collect()), reverse=True)
+    rows, least = 0, np.iinfo(np.int64).max
+    for _, more, low in parts:
+        rows += more
+        if rows > most:
+            return int(least), False
+        least = low
+    return int(least), True
+
+
 def hot_keys(counts: DataFrame, members: str, total: int) -> list[Row]:
     """The rows of `counts` (a row for each key) whose key has more than one in HOT of all rows: fewer than HOT."""
     return counts.where(F.col(members) * HOT > total).collect()

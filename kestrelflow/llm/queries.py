@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelflow.llm import ann, chat, decontam, licenses, lines, mixing, neardup, resample, tokens, toxicity, urls
+from kestrelflow.llm import ann, chat, decontam, licenses, lines, mixing, neardup, resample, tokenalign, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,6 +189,14 @@ SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= drawn THEN r
 """
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the 50k byte-level tokens and the 32k pieces of all documents."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokenalign.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -202,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_decontam": op10_decontam,
         "op11_resample": op11_resample,
+        "op12_token_align": op12_token_align,
     }
 
 

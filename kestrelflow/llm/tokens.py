@@ -52,6 +52,12 @@ def character_classes() -> np.ndarray:
     return table
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*printable}))}
+
+
 class Merges:
     """The merge table of a vocabulary file of the tokenizers library, as arrays."""
 
@@ -61,8 +67,7 @@ class Merges:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec["normalizer"] or pre["add_prefix_space"]:
             raise ValueError(f"{path} is not a byte-level BPE vocabulary without a normaliser or prefix space")
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*printable}))}
+        shown = byte_letters()
         vocab = model["vocab"]
         self.size = max(vocab.values()) + 1
         self.byte = np.array([vocab[shown[b]] for b in range(256)], np.int64)
