@@ -55,12 +55,12 @@ def settled(frame: DataFrame) -> DataFrame:
         return frame.select("*").checkpoint()
 
 
-def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder, written with these options; use it for wide rows such as texts."""
+def stored(frame: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, in a folder for each value of `by` if it is given; use it for wide rows such as texts."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with run_once(spark):
-        frame.write.options(**options).parquet(path)
+        frame.write.options(**options).parquet(path, partitionBy=by)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -162,6 +162,12 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], ..., starts[i] + sizes[i] - 1 of all i in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the one of splitmix64) over an array."""
     x = x ^ (x >> np.uint64(30))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelflow.llm import ann, chat, decontam, licenses, lines, mixing, neardup, resample, tokenalign, tokens, toxicity, urls
+from kestrelflow.llm import ann, chat, decontam, licenses, lines, maxent, mixing, neardup, resample, tokenalign, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,6 +197,11 @@ def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and maximum-entropy scores of all documents, learnt from nine tenths of them."""
+    return maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -211,6 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontam": op10_decontam,
         "op11_resample": op11_resample,
         "op12_token_align": op12_token_align,
+        "op13_lm_score": op13_lm_score,
     }
 
 

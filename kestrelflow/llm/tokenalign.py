@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import most_frequent, released, same_spans, shared, small_batches, span_hashes, steps, stored, utf8
+from kestrelflow.llm.common import most_frequent, ragged, released, same_spans, shared, small_batches, span_hashes, steps, stored, utf8
 from kestrelflow.llm.tokens import byte_letters, character_classes, token_starts
 
 #: Bytes of text that are encoded and aligned at a time; one longer text is held whole.
@@ -29,12 +29,6 @@ MOST_HELD = 1 << 20
 CALL = 20_000
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places starts[i], ..., starts[i] + sizes[i] - 1 of all i in a row."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
-
-
 class ByteLevel:
     """Encoder of the tokenizers library that encodes each different pre-token of a step once."""
 
