@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrelflow.operators.moments import column_moments
 from kestrelflow.operators.validate import fits_float
 from kestrelflow.operators.windows import long_series, overlap_weights
 
@@ -29,42 +30,48 @@ def fit_on_windows(windows: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 
 def fit_on_rows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5) -> DataFrame:
-    """The same from rows weighted by the number of windows they lie in: no window is built, one pass over rows.
+    """The same from rows weighted by the number of windows they lie in: no window is built.
 
-    The deviation is taken about a first mean, so large values with little spread keep their digits.
+    One scan and one pass by parts that merge (see moments); nothing runs before an action. No
+    training windows give no rows.
     """
-    weighted = overlap_weights(rows.where("split = 'train'"), size, stride).where("weight > 0")
-    w = F.col("weight")
-    first = weighted.agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in channels)).first()
-    if first is None or first[0] is None:
-        return weighted.sparkSession.createDataFrame([], "channel string, mean double, scale double, samples long")
-    shift = lambda c: F.col(c) - F.lit(first[c])
-    sums = weighted.agg(
-        F.sum(w).alias("_n"), *(F.sum(w * shift(c)).alias(f"_s_{c}") for c in channels), *(F.sum(w * shift(c) * shift(c)).alias(f"_q_{c}") for c in channels)
-    )
-    entry = lambda c: F.struct(
-        F.lit(c).alias("channel"), (F.lit(first[c]) + F.col(f"_s_{c}") / F.col("_n")).alias("mean"),
-        scale_of(F.sqrt(F.greatest(F.col(f"_q_{c}") / F.col("_n") - F.pow(F.col(f"_s_{c}") / F.col("_n"), 2), F.lit(0.0)))).alias("scale"),
-        F.col("_n").alias("samples"),
-    )
-    return sums.select(F.explode(F.array(*map(entry, channels))).alias("e")).select("e.*")
+    weighted = overlap_weights(rows.where("split = 'train'"), size, stride)
+    found = column_moments(weighted, channels, "weight")
+    return found.select(F.col("column").alias("channel"), "mean", scale_of(F.col("deviation")).alias("scale"), F.col("n").cast("long").alias("samples"))
+
+
+def one_row(stats: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """The statistics as one row, a struct (mean, scale) for each channel; a channel that has none, several or unusable ones stops the job."""
+    row = stats.groupBy()
+    own = lambda c, x: F.max(F.when(F.col("channel") == c, F.col(x)))
+    out = row.agg(*(F.struct(own(c, "mean").alias("mean"), own(c, "scale").alias("scale"), own(c, "samples").alias("samples"), F.count_if(F.col("channel") == c).alias("copies")).alias(c) for c in channels))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    def checked(c: str) -> Column:
+        s = F.col(f"`{c}`")
+        wrong = (
+            F.when(s["copies"] == 0, f"no statistics of {c}").when(s["copies"] > 1, f"several statistics of {c}")
+            .when(~finite(s["scale"]) | (s["scale"] <= 0), f"no usable scale of {c}").when(~finite(s["mean"]), f"no usable mean of {c}")
+            .when(F.coalesce(s["samples"], F.lit(0)) < 1, f"no samples of {c}")
+        )
+        return F.when(wrong.isNull(), F.struct(s["mean"].alias("mean"), s["scale"].alias("scale"))).otherwise(F.raise_error(wrong)).alias(c)
+
+    return out.select(F.struct(*map(checked, channels)).alias("_stats"))
 
 
 def transform(windows: DataFrame, stats: DataFrame, channels: Sequence[str]) -> DataFrame:
     """The windows with `normal`, a struct of float arrays (x - mean) / scale. `stats` has a row per channel.
 
-    A value that a float can't hold stops the job.
+    The statistics, a row of a few numbers, are broadcast; nothing runs before an action. Statistics
+    that can't be used stop the job (see one_row), and so does a value that a float can't hold.
     """
-    by = {r["channel"]: (r["mean"], r["scale"]) for r in stats.where(F.col("channel").isin(list(channels))).collect()}
-    missing = [c for c in channels if c not in by]
-    if missing:
-        raise ValueError(f"no statistics of {missing}")
+    joined = windows.crossJoin(F.broadcast(one_row(stats, channels)))
+
     def normal(channel: str) -> Column:
-        mean, scale = by[channel]
-        return F.transform(F.col("series")[channel], lambda x: as_float((x - mean) / scale, channel)).alias(channel)
+        s = F.col("_stats")[channel]
+        return F.transform(F.col("series")[channel], lambda x: as_float((x - s["mean"]) / s["scale"], channel)).alias(channel)
 
-    arrays = map(normal, channels)
-    return windows.withColumn("normal", F.struct(*arrays))
+    return joined.withColumn("normal", F.struct(*map(normal, channels))).drop("_stats")
 
 
 def stats_violations(stats: DataFrame, units: DataFrame | None = None) -> DataFrame:

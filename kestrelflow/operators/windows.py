@@ -25,9 +25,9 @@ def with_life(rows: DataFrame) -> DataFrame:
     return rows.withColumn("life", life).withColumn("rul", F.col("life") - F.col("cycle"))
 
 
-def is_window_end(size: int, stride: int) -> Column:
+def is_window_end(size: int, stride: int, c: Column | None = None, life: Column | None = None) -> Column:
     """Cycles a window ends at: every stride from the first full window on, and the last cycle, once."""
-    c, life = F.col("cycle"), F.col("life")
+    c, life = F.col("cycle") if c is None else c, F.col("life") if life is None else life
     return (c >= size) & ((F.pmod(c - size, F.lit(stride)) == 0) | (c == life))
 
 
@@ -60,20 +60,52 @@ def inference_view(windows: DataFrame, with_targets: bool = False) -> DataFrame:
     return windows if with_targets else windows.drop(*TARGETS)
 
 
-def strided_windows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5) -> DataFrame:
+#: Rows of a unit that are cut into windows at a time.
+SEGMENT = 8192
+
+
+def strided_windows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5, segment: int | None = None, strict: bool = False) -> DataFrame:
     """(unit, cycle, window_start, rul, split if there, series): one row per window, series a struct of arrays.
 
-    One sort by unit serves the lifetime and the frame; the frame's rows are collected once as structs
-    and cut into one array per channel for window ends only.
+    A unit's rows are collected in segments, each with the `size` - 1 rows before it, and arrays are
+    cut out at window ends only. By default a window is the last `size` rows by cycle, and one
+    shuffle and sort by unit serves lifetimes, places and segments; a unit is one task. With
+    `segment` each so many cycles of a unit are a task of their own, so a unit of any length is spread:
+    then cycles have to follow one another from 1, as strict reads assure, and a gap stops the job.
+    With `strict` a unit that lives for less than a window stops the job; else it has no window.
     """
     whole_number(size, "size")
     whole_number(stride, "stride")
-    frame = Window.partitionBy("unit").orderBy("cycle").rowsBetween(1 - size, 0)
-    framed = with_life(rows).withColumn("_frame", F.collect_list(F.struct(*channels)).over(frame))
-    ends = framed.where(is_window_end(size, stride) & (F.size("_frame") == size))
-    series = F.struct(*(F.col("_frame")[c].alias(c) for c in channels))
+    length = SEGMENT if segment is None else whole_number(segment, "segment")
     keep = ["split"] if "split" in rows.columns else []
-    return ends.select("unit", "cycle", (F.col("cycle") - size + 1).alias("window_start"), "rul", *keep, series.alias("series"))
+    rows = rows.select("unit", "cycle", *keep, *channels)
+    if segment is None:
+        lived = with_life(rows).withColumn("_at", F.row_number().over(Window.partitionBy("unit").orderBy("cycle")))
+    else:
+        lived = rows.withColumn("_at", F.col("cycle"))
+    # The row at place p is in the windows that end at places p to p + size - 1.
+    own = F.sequence(F.floor((F.col("_at") - 1) / length), F.floor((F.col("_at") + size - 2) / length))
+    spread = lived.withColumn("_segment", F.explode(own))
+    facts = [F.max("life").alias("life")] if segment is None else []
+    packed = F.struct("_at", "cycle", *channels)
+    found = spread.groupBy("unit", "_segment").agg(*facts, *(F.first(c).alias(c) for c in keep), F.sort_array(F.collect_list(packed)).alias("_rows"))
+    if segment is not None:
+        found = found.join(lifetimes(rows).select("unit", "life"), "unit")
+    if strict:
+        short = F.format_string(f"a window has {size} cycles, but unit %s has %s only", F.col("unit"), F.col("life"))
+        found = found.withColumn("life", F.when(F.col("life") >= size, F.col("life")).otherwise(F.raise_error(short).cast("int")))
+    row = lambda i: F.element_at("_rows", i.cast("int"))
+    ends = F.filter(
+        F.sequence(F.lit(1), F.size("_rows")),
+        lambda i: (F.floor((row(i)["_at"] - 1) / length) == F.col("_segment")) & (i >= size) & is_window_end(size, stride, row(i)["cycle"], F.col("life")),
+    )
+    cut = found.select("unit", "life", *keep, "_rows", F.explode(ends).alias("_end"))
+    cut = cut.select("unit", "life", *keep, F.slice("_rows", F.col("_end") - size + 1, F.lit(size)).alias("_frame"))
+    first, last = F.element_at("_frame", 1)["cycle"], F.element_at("_frame", -1)["cycle"]
+    cycle = last if segment is None else F.when(last - first == size - 1, last).otherwise(F.raise_error(F.format_string("unit %s: cycles up to %s don't follow one another", F.col("unit"), last)).cast("int"))
+    series = F.struct(*(F.col("_frame")[c].alias(c) for c in channels))
+    out = cut.select("unit", cycle.alias("cycle"), "life", *keep, series.alias("series"))
+    return out.select("unit", "cycle", (F.col("cycle") - size + 1).alias("window_start"), (F.col("life") - F.col("cycle")).alias("rul"), *keep, "series")
 
 
 def window_features(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5) -> DataFrame:

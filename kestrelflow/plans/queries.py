@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelflow.functions import numbers as N
@@ -14,6 +15,7 @@ from kestrelflow.functions import text as T
 from kestrelflow.operators import assess, catalog, labels, metrics, models, normalize, validate, windows
 from kestrelflow.sources import files, raw_text, sinks
 from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, table, telemetry, with_provenance
+from kestrelflow.streaming import strict
 from kestrelflow.streaming import windows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +57,32 @@ WINDOWS = (
 )
 
 
+SERIES = (
+    TELEMETRY
+    + ", series AS (SELECT unit, cycle, life, split, "
+    + ", ".join(f"list({c}) OVER w AS {c}" for c in CHANNELS)
+    + """ FROM lived WINDOW w AS (PARTITION BY unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+), cut AS (SELECT * FROM series WHERE cycle >= 30 AND ((cycle - 30) % 5 = 0 OR cycle = life))"""
+)
+
+
+def listed_sql(values: str) -> str:
+    """A list of numbers as text: each in whole millionths (of two), which both engines round alike."""
+    return f"array_to_string(list_transform({values}, lambda x: CAST(floor(x * 1048576 + 0.5) AS BIGINT)), ',')"
+
+
+def whole_sql(x: str) -> str:
+    return f"CAST(floor({x} * 1048576 + 0.5) AS BIGINT)"
+
+
+def whole(x) -> Column:
+    return F.floor(x * 1048576 + 0.5).cast("long")
+
+
+def listed(values) -> Column:
+    return F.array_join(F.transform(values, lambda x: whole(x).cast("string")), ",")
+
+
 def strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window records with labels."""
     w = windows.strided_windows(telemetry(spark, sf_dir), CHANNELS, SIZE, STRIDE)
@@ -181,14 +209,15 @@ def life_histogram(spark, sf_dir):
 
 
 @query(
-    f"""WITH {WINDOWS} SELECT unit, cycle, window_start, rul, split, round(sensor_4_sum, 4) AS total_4, round(sensor_9_sum, 4) AS total_9,
-  CAST(30 AS INTEGER) AS points FROM windows"""
+    f"WITH {SERIES} SELECT unit, cycle, cycle - 29 AS window_start, life - cycle AS rul, split, CAST(30 AS INTEGER) AS points, "
+    + ", ".join(f"md5({listed_sql(c)}) AS {c}" for c in CHANNELS)
+    + " FROM cut"
 )
 def strided_windows(spark, sf_dir):
-    """Every window with sums of two of its series."""
-    total = lambda c: F.round(F.aggregate(F.col("series")[c], F.lit(0.0), lambda s, x: s + x), 4)
+    """Every window with digests of its whole series, channel by channel."""
     w = strided(spark, sf_dir)
-    return w.select("unit", "cycle", "window_start", "rul", "split", total("sensor_4").alias("total_4"), total("sensor_9").alias("total_9"), F.size(F.col("series")["sensor_4"]).alias("points"))
+    digests = [F.md5(listed(F.col("series")[c])).alias(c) for c in CHANNELS]
+    return w.select("unit", "cycle", "window_start", "rul", "split", F.size(F.col("series")["sensor_4"]).alias("points"), *digests)
 
 
 @query(f"WITH {WINDOWS} SELECT unit, cycle, (cycle - 30) % 5 = 0 AS on_stride FROM windows WHERE rul = 0")
@@ -249,18 +278,10 @@ def rolling_mean_5(spark, sf_dir):
     return windows.rolling_mean(telemetry(spark, sf_dir), "sensor_4", 5).select("unit", "cycle", F.round("rolling", 6).alias("rolling"))
 
 
-@query(
-    f"WITH {WINDOWS} SELECT unit, cycle, rul, split, "
-    + ", ".join(f"round({n}, 6) + CAST(0 AS DOUBLE) AS {n}" for n in windows.feature_names(CHANNELS) if "15" not in n)
-    + " FROM windows"
-)
+@query(f"WITH {WINDOWS} SELECT unit, cycle, rul, split, " + ", ".join(f"{whole_sql(n)} AS {n}" for n in windows.feature_names(CHANNELS)) + " FROM windows")
 def window_features(spark, sf_dir):
-    """Five statistics of each channel and window, from frames alone."""
-    place = f"{files.scratch(spark)}/features-{uuid.uuid4().hex}"
-    featured(spark, sf_dir).write.partitionBy("split").parquet(place)  # once, for the fit and the predictions
-    f = spark.read.parquet(place)
-    names = [n for n in windows.feature_names(CHANNELS) if "15" not in n]
-    return f.select("unit", "cycle", "rul", "split", *((F.round(n, 6) + F.lit(0.0)).alias(n) for n in names))
+    """Five statistics of each channel and window, from frames alone, in whole millionths."""
+    return featured(spark, sf_dir).select("unit", "cycle", "rul", "split", *(whole(F.col(n)).alias(n) for n in windows.feature_names(CHANNELS)))
 
 
 @query(
@@ -416,16 +437,16 @@ def norm_stats_exploded(spark, sf_dir):
 
 
 @query(
-    f"""WITH {WINDOWS}, vals AS (SELECT t.sensor_4 AS v FROM windows w JOIN telemetry t ON w.unit = t.unit AND t.cycle BETWEEN w.window_start AND w.cycle WHERE w.split = 'train'),
-s AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM vals)
-SELECT unit, cycle, round((sensor_4 - sensor_4_drift - m) / d, 3) + CAST(0 AS DOUBLE) AS first_4, round((sensor_4 - m) / d, 3) + CAST(0 AS DOUBLE) AS last_4, CAST(0 AS DOUBLE) AS last_1 FROM windows, s"""
+    f"""WITH {WINDOWS}, vals AS (SELECT t.* FROM windows w JOIN telemetry t ON w.unit = t.unit AND t.cycle BETWEEN w.window_start AND w.cycle WHERE w.split = 'train'),
+s AS (SELECT {', '.join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END AS {c}_d" for c in CHANNELS)} FROM vals)
+SELECT unit, cycle, {', '.join(f"round(({c} - {c}_drift - {c}_m) / {c}_d, 3) + CAST(0 AS DOUBLE) AS first_{c}, round(({c} - {c}_m) / {c}_d, 3) + CAST(0 AS DOUBLE) AS last_{c}" for c in CHANNELS)} FROM windows, s"""
 )
 def norm_transform(spark, sf_dir):
-    """First and last normalised values of a channel, and of the constant one."""
+    """First and last normalised values of every channel, the constant one too."""
     rows = telemetry(spark, sf_dir)
     out = normalize.transform(strided(spark, sf_dir), normalize.fit_on_rows(rows, CHANNELS, SIZE, STRIDE), CHANNELS)
     at = lambda c, i: F.round(F.element_at(F.col("normal")[c], i).cast("double"), 3) + F.lit(0.0)
-    return out.select("unit", "cycle", at("sensor_4", 1).alias("first_4"), at("sensor_4", -1).alias("last_4"), at("sensor_1", -1).alias("last_1"))
+    return out.select("unit", "cycle", *(at(c, i).alias(f"{name}_{c}") for c in CHANNELS for name, i in (("first", 1), ("last", -1))))
 
 
 @query(f"WITH {TELEMETRY}, long AS ({' UNION ALL '.join(f'''SELECT '{c}' AS channel, {c} AS v FROM telemetry''' for c in CHANNELS)}) SELECT channel, round(stddev_samp(v), 6) AS deviation, CASE WHEN stddev_samp(v) > 1e-6 THEN 'Active' ELSE 'Dropped' END AS state FROM long GROUP BY channel")
@@ -593,15 +614,15 @@ def tasks_long(spark, sf_dir):
 
 
 @query(
-    f"""WITH {WINDOWS}, {RECORDS}, s AS ({' UNION ALL '.join(f"SELECT record_id, '{c}' AS sensor, {c}_sum AS total, {c} AS last FROM records" for c in CHANNELS if c != 'sensor_1')}),
+    f"""WITH {SERIES}, s AS ({' UNION ALL '.join(f"SELECT unit, cycle, '{c}' AS sensor, {c} AS v FROM cut" for c in CHANNELS if c != 'sensor_1')}),
 reg(sensor, signal, unit_of_measure) AS (VALUES ('sensor_3', 'T30', 'degR'), ('sensor_4', 'T50', 'degR'), ('sensor_9', 'Nc', 'rpm'), ('sensor_11', 'Ps30', 'psi'), ('sensor_15', 'BPR', 'dimensionless'))
-SELECT record_id, s.sensor, signal, unit_of_measure, CAST(30 AS INTEGER) AS points, round(total, 2) AS total FROM s JOIN reg ON s.sensor = reg.sensor WHERE s.sensor <> 'sensor_15'"""
+SELECT printf('FD001-U%03d-C%04d', unit, cycle) AS record_id, s.sensor, signal, unit_of_measure, CAST(len(v) AS INTEGER) AS points,
+  {listed_sql("list_transform(v, lambda y: CAST(CAST(y AS FLOAT) AS DOUBLE))")} AS series FROM s JOIN reg ON s.sensor = reg.sensor"""
 )
 def time_series_long(spark, sf_dir):
-    """A row per record and registered channel."""
-    s = catalog.time_series(strided(spark, sf_dir), CHANNELS).where("sensor <> 'sensor_15'")
-    total = F.round(F.aggregate(F.col("values").cast("array<string>").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 2)
-    return s.select("record_id", "sensor", "signal", "unit_of_measure", F.size("values").alias("points"), total.alias("total"))
+    """A row per record and registered channel, with all its values as the 32-bit floats they are kept as."""
+    s = catalog.time_series(strided(spark, sf_dir), CHANNELS)
+    return s.select("record_id", "sensor", "signal", "unit_of_measure", F.size("values").alias("points"), listed(F.col("values").cast("array<double>")).alias("series"))
 
 
 @query(f"WITH {WINDOWS}, n AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cycle) - 1 AS i, count(*) OVER (PARTITION BY unit) AS n FROM windows) SELECT unit, cycle, i = n - 1 AS is_last FROM n WHERE i = n // 3 OR i = n - 1")
@@ -818,7 +839,7 @@ def registered_predictors(spark, sf_dir):
     """Test windows' predictions of every registered predictor."""
     ends = windows.with_life(telemetry(spark, sf_dir).select("unit", "cycle", "split")).where(windows.is_window_end(SIZE, STRIDE))
     parts = [models.registered(name)(ends).where("split = 'test'").select("unit", "cycle", F.lit(name).alias("model"), F.round("prediction", 6).alias("prediction")) for name in models.REGISTRY]
-    return parts[0].unionByName(parts[1])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(f"SELECT channel, CAST(split_part(channel, '_', 2) AS INTEGER) AS number FROM (SELECT unnest([{', '.join(repr(c) for c in CHANNELS)}]) AS channel)")
@@ -858,13 +879,33 @@ def joint_loss(spark, sf_dir):
 # Queries that SQL doesn't express.
 
 
+RIDGE_FEATURES = [n for n in windows.feature_names(CHANNELS) if "sensor_1_" not in n]
+
+
+def fitted_ridge(spark, sf_dir):
+    """Window features, computed once for the fit and the predictions, and the ridge model of the training ones."""
+    place = f"{files.scratch(spark)}/features-{uuid.uuid4().hex}"
+    featured(spark, sf_dir).write.partitionBy("split").parquet(place)
+    f = spark.read.parquet(place)
+    return f, models.ridge(f.where("split = 'train'"), RIDGE_FEATURES, "rul")
+
+
 @query()
 def ridge_predict(spark, sf_dir):
     """Ridge regression fitted on training windows' features, applied to test windows as an expression."""
-    f = featured(spark, sf_dir)
-    names = [n for n in windows.feature_names(CHANNELS) if "sensor_1_" not in n]
-    model = models.fit_ridge(f.where("split = 'train'"), names, "rul")
-    return f.where("split = 'test'").select("unit", "cycle", N.clipped(models.predict_ridge(f, model, names)).alias("prediction"))
+    f, model = fitted_ridge(spark, sf_dir)
+    return f.where("split = 'test'").select("unit", "cycle", N.clipped(models.predict_ridge(f, model, RIDGE_FEATURES)).alias("prediction"))
+
+
+@query(
+    f"""WITH {WINDOWS} SELECT unnest([{', '.join(f"'{n}'" for n in RIDGE_FEATURES)}]) AS feature, n_windows, CAST(0 AS DOUBLE) AS residual
+FROM (SELECT count(*) AS n_windows FROM windows WHERE split = 'train')"""
+)
+def ridge_residuals(spark, sf_dir):
+    """What the normal equations of the ridge fit leave over for each feature, as a share of its and the target's size: nothing."""
+    f, model = fitted_ridge(spark, sf_dir)
+    left = models.ridge_left_over(f.where("split = 'train'"), model, RIDGE_FEATURES, "rul")
+    return left.select("feature", "n_windows", (F.round("residual", 6) + F.lit(0.0)).alias("residual"))
 
 
 @query()
@@ -897,17 +938,41 @@ def windows_digest(spark, sf_dir):
     return files.rows_digest(strided(spark, sf_dir))
 
 
-@query(f"WITH {WINDOWS} SELECT unit, cycle, sensor_4_drift AS drift_4 FROM windows")
+@query(f"WITH {SERIES} SELECT unit, cycle, {listed_sql('sensor_4')} AS sensor_4, {listed_sql('sensor_9')} AS sensor_9 FROM cut")
 def stream_windows(spark, sf_dir):
-    """The windows of a stream of events, which needs a marker for a unit's last cycle."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The windows of a stream of events with their whole series; the stream needs a marker for a unit's last cycle."""
     rows = windows.with_life(telemetry(spark, sf_dir)).withColumn("ended", F.col("cycle") == F.col("life"))
     place = f"{files.scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = rows.select("unit", "cycle", "sensor_4", "sensor_9", "ended")
     rows.write.parquet(f"{place}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
-    found = streaming.run_to_files(streaming.stream_windows(stream, ["sensor_4", "sensor_9"], SIZE, STRIDE), f"{place}/out", f"{place}/state")
-    return found.select("unit", "cycle", labels.endpoint_drift(F.col("sensor_4")).alias("drift_4"))
+    stream = streaming.streaming_session(spark).readStream.schema(rows.schema).parquet(f"{place}/in")
+    found = streaming.run_to_files(streaming.stream_windows(stream, ["sensor_4", "sensor_9"], SIZE, STRIDE), f"{place}/out", f"{place}/state", spark)
+    return found.select("unit", "cycle", listed(F.col("sensor_4")).alias("sensor_4"), listed(F.col("sensor_9")).alias("sensor_9"))
+
+
+STRICT_SQL = f"""WITH {RAW_SQL}, split AS (SELECT line, string_split_regex(trim(value), '\\s+') AS f FROM raw WHERE trim(value) <> ''),
+each AS (SELECT line, len(f) AS n, TRY_CAST(f[1] AS DOUBLE) AS u, TRY_CAST(f[2] AS DOUBLE) AS c, unnest(f) AS x FROM split),
+found AS (
+  SELECT line, line % 16 AS source, max(u) AS u, max(c) AS c, CASE WHEN max(n) <> 26 THEN 'width' WHEN count(*) FILTER (WHERE TRY_CAST(x AS DOUBLE) IS NULL) > 0 THEN 'number'
+    WHEN count(*) FILTER (WHERE NOT isfinite(TRY_CAST(x AS DOUBLE))) > 0 THEN 'finite' WHEN max(u) <> floor(max(u)) OR max(c) <> floor(max(c)) THEN 'whole'
+    WHEN max(u) NOT BETWEEN 1 AND 100 OR max(c) < 1 THEN 'range' END AS rule FROM each GROUP BY line),
+ordered AS (
+  SELECT line, u, c, coalesce(lag(u) OVER w, 0) AS bu, coalesce(lag(c) OVER w, 0) AS bc FROM found WHERE rule IS NULL WINDOW w AS (PARTITION BY source ORDER BY line))
+SELECT line, coalesce(rule, CASE WHEN o.u < bu THEN 'order' WHEN o.c <> CASE WHEN o.u = bu THEN bc + 1 ELSE 1 END THEN 'sequence' END) AS rule FROM found LEFT JOIN ordered o USING (line)"""
+
+
+@query(STRICT_SQL)
+def stream_strict_lines(spark, sf_dir):
+    """Every line of a stream of sixteen sources, read in three batches, with the first rule it breaks."""
+    lines = raw_lines(spark, sf_dir).withColumn("source", (F.col("line") % 16).cast("string"))
+    place = f"{files.scratch(spark)}/strict-{uuid.uuid4().hex}"
+    most = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    for part in range(3):
+        own = F.floor(F.col("line") * 3 / (most + 1)) == part if part else F.col("line") * 3 < most + 1
+        lines.where(own).repartition(8).write.mode("append").parquet(f"{place}/in")
+    stream = streaming.streaming_session(spark).readStream.schema(lines.schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
+    found = streaming.run_to_files(strict.strict_lines(stream), f"{place}/out", f"{place}/state", spark, by="broken")
+    return found.select("line", "rule")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -43,22 +43,29 @@ def parse_lines(lines: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
     return split.select(block.alias("block"), "line", *ints, *(number(i).alias(n) for i, n in enumerate(names[2:], 2)))
 
 
-def line_violations(lines: DataFrame, width: int = len(FIELDS), units: int = 100) -> DataFrame:
-    """(line, rule) of each line's first broken rule: width, number, finite, whole or range. Blank lines are no error."""
+def split_lines(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank with their fields (_f) and these as numbers (_n)."""
     split = lines.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("_f", fields_of(F.col("value")))
-    numbers = F.transform("_f", lambda x: x.try_cast("double"))
-    split = split.withColumn("_n", numbers)
+    return split.withColumn("_n", F.transform("_f", lambda x: x.try_cast("double")))
+
+
+def first_rule(width: int = len(FIELDS), units: int = 100) -> Column:
+    """The first rule that a line of split_lines() breaks: width, number, finite, whole or range; else null."""
     key = lambda i: F.get("_n", F.lit(i))
-    rule = (
+    return (
         F.when(F.size("_f") != width, "width")
         .when(F.exists("_n", lambda x: x.isNull()), "number")
         .when(F.exists("_n", lambda x: ~is_finite(x)), "finite")
         .when(~(is_whole(key(0)) & is_whole(key(1))), "whole")
         .when(~(key(0).between(1, units) & (key(1) >= 1)), "range")
     )
+
+
+def line_violations(lines: DataFrame, width: int = len(FIELDS), units: int = 100) -> DataFrame:
+    """(line, rule) of each line's first broken rule: width, number, finite, whole or range. Blank lines are no error."""
     # A filter on the rule would be pushed below the split and write it out once for every test.
-    broken = F.filter(F.array(rule), lambda x: x.isNotNull())
-    return split.select("line", F.explode(broken).alias("rule"))
+    broken = F.filter(F.array(first_rule(width, units)), lambda x: x.isNotNull())
+    return split_lines(lines).select("line", F.explode(broken).alias("rule"))
 
 
 def sequence_violations(rows: DataFrame) -> DataFrame:

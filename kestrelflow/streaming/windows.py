@@ -1,9 +1,10 @@
 """Strided windows, sequence gaps and moments over a stream of telemetry rows.
 
 State is the last rows of each unit, and rows that came before their predecessors. Rows of a unit may
-arrive in any order; they are taken in order of cycle, each once its predecessor has been. A unit's
-last window needs to know that the unit has ended: a row with `ended` true says so, and the state of
-the unit is dropped with it.
+arrive in any order; they are taken in order of cycle, each once its predecessor has been. What a
+batch costs goes by the rows that arrive and that become ready, not by those that wait. A unit's last
+window needs to know that the unit has ended: a row with `ended` true says so, and all that is kept of
+the unit then is that it is over. Rows that come again or after their unit's end are given out apart.
 """
 
 from __future__ import annotations
@@ -11,60 +12,117 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: The state store that these operators need, as a setting of the session that runs the stream.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+OVER = 0
+
+
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store set; the given session's settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set(*STATE_STORE)
+    return own
+
 
 class WindowBuffer(StatefulProcessor):
-    """Keeps a unit's last `size` values and emits a window at every stride, and at the unit's end."""
+    """Keeps a unit's last `size` values and emits a window at every stride, and at the unit's end.
 
-    def __init__(self, channels: Sequence[str], size: int, stride: int):
-        self.channels, self.size, self.stride = list(channels), size, stride
+    Kinds of rows: window; late (the row came before, or its unit is over); waiting (a row that
+    still waited for its predecessor when its unit had been idle for `idle_ms`).
+    """
+
+    def __init__(self, channels: Sequence[str], size: int, stride: int, idle_ms: int | None = None):
+        self.channels, self.size, self.stride, self.idle_ms = list(channels), size, stride, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"{c} double" for c in self.channels)
+        self.handle = handle
+        self.following = handle.getValueState("following", "cycle int")
         self.recent = handle.getListState("recent", f"cycle int, {fields}")
         self.early = handle.getMapState("early", "cycle int", f"{fields}, ended boolean")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        recent = list(self.recent.get()) if self.recent.exists() else []
-        following = recent[-1][0] + 1 if recent else 1
-        waiting = {k[0]: tuple(v) for k, v in self.early.iterator()} if self.early.exists() else {}
+        unit, out, arrived, late = int(key[0]), [], {}, []
+        following = self.following.get()[0] if self.following.exists() else 1
         for frame in rows:
             for r in frame.itertuples(index=False):
-                waiting[int(r.cycle)] = (*(float(getattr(r, c)) for c in self.channels), bool(r.ended))
-        out, over = [], False
-        while following in waiting:
-            *values, over = waiting.pop(following)
+                cycle, values = int(r.cycle), (*(float(getattr(r, c)) for c in self.channels), bool(r.ended))
+                if following == OVER or cycle < following or cycle in arrived or self.early.containsKey((cycle,)):
+                    late.append((unit, cycle, "late", *([x] for x in values[:-1])))
+                else:
+                    arrived[cycle] = values
+        recent, begin, over = None, following, False
+        while not over and following != OVER:
+            if following in arrived:
+                *values, over = arrived.pop(following)
+            elif self.early.containsKey((following,)):
+                *values, over = self.early.getValue((following,))
+                self.early.removeKey((following,))
+            else:
+                break
+            if recent is None:
+                recent = list(self.recent.get()) if self.recent.exists() else []
             recent = [*recent, (following, *values)][-self.size :]
             if len(recent) == self.size and ((following - self.size) % self.stride == 0 or over):
-                out.append((int(key[0]), following, *([r[i + 1] for r in recent] for i in range(len(self.channels)))))
+                out.append((unit, following, "window", *([r[i + 1] for r in recent] for i in range(len(self.channels)))))
             following += 1
-            if over:
-                break
         if over:
+            late += [(unit, c, "late", *([x] for x in v[:-1])) for c, v in [*arrived.items(), *self._waiting()]]
             self.recent.clear()
             self.early.clear()
+            self.following.update((OVER,))
         else:
-            self.recent.put(recent) if recent else None
-            for k, _ in list(self.early.iterator()) if self.early.exists() else []:
-                if k[0] not in waiting:
-                    self.early.removeKey(k)
-            for cycle, v in waiting.items():
-                self.early.updateValue((cycle,), v)
-        yield pd.DataFrame(out, columns=["unit", "cycle", *self.channels])
+            if following != begin:
+                self.recent.put(recent)
+                self.following.update((following,))
+            for cycle, values in arrived.items():
+                self.early.updateValue((cycle,), values)
+        if self.idle_ms is not None:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            at = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+        yield self._frame(out + late)
+
+    def _waiting(self) -> list[tuple]:
+        return [(k[0], tuple(v)) for k, v in self.early.iterator()] if self.early.exists() else []
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["unit", "cycle", "kind", *self.channels])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = [(int(key[0]), c, "waiting", *([x] for x in v[:-1])) for c, v in self._waiting()]
+        for state in (self.following, self.recent, self.early, self.timer):
+            state.clear()
+        yield self._frame(waiting)
 
     def close(self) -> None:
         pass
 
 
-def stream_windows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5) -> DataFrame:
-    """(unit, cycle, an array per channel) of a stream of (unit, cycle, channels, ended). Needs the RocksDB state store."""
+def stream_rows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5, idle_ms: int | None = None) -> DataFrame:
+    """(unit, cycle, kind, an array per channel) of a stream of (unit, cycle, channels, ended): windows, and rows apart (see WindowBuffer).
+
+    A row apart has its own values, an array of one for each channel. With `idle_ms` the state of a
+    unit without rows for so long goes, and what still waited is given out; a unit that goes on after
+    that begins anew. Needs STATE_STORE.
+    """
     arrays = ", ".join(f"{c} array<double>" for c in channels)
     return rows.groupBy("unit").transformWithStateInPandas(
-        WindowBuffer(channels, size, stride), outputStructType=f"unit int, cycle int, {arrays}", outputMode="append", timeMode="none"
-    )
+        WindowBuffer(channels, size, stride, idle_ms), outputStructType=f"unit int, cycle int, kind string, {arrays}", outputMode="append",
+        timeMode="none" if idle_ms is None else "processingTime",
+    )
+
+
+def stream_windows(rows: DataFrame, channels: Sequence[str], size: int = 30, stride: int = 5, idle_ms: int | None = None) -> DataFrame:
+    """(unit, cycle, an array per channel): the windows alone."""
+    return stream_rows(rows, channels, size, stride, idle_ms).where("kind = 'window'").drop("kind")
 
 
 class GapDetector(StatefulProcessor):
@@ -106,8 +164,10 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.table(name)
 
 
-def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what is there into Parquet files, and gives them back as a table; nothing passes the driver."""
-    query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, target: str, checkpoint: str, spark: SparkSession | None = None, by: str | None = None) -> DataFrame:
+    """Runs the stream over what is there into Parquet files, in a folder for each value of `by` if it is given, and gives
+    them back as a table of `spark` (the stream's session by default); nothing passes the driver."""
+    writer = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = (writer.partitionBy(by) if by else writer).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+    return (spark or stream.sparkSession).read.schema(stream.schema).parquet(target)

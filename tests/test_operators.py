@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kestrelflow.functions import numbers as N
 from kestrelflow.functions import text as T
-from kestrelflow.operators import catalog, labels, metrics, models, normalize, windows
+from kestrelflow.operators import catalog, labels, metrics, models, moments, normalize, windows
 from kestrelflow.sources.telemetry import CHANNELS, fleet_split, telemetry
 from kestrelflow.streaming import windows as streaming
 
@@ -79,8 +79,14 @@ def test_normalisation(spark):
     assert all(r.normal.sensor_3 == [0, 0, 0] for r in normalize.transform(w, fitted, ["sensor_2", "sensor_3"]).collect())
     other = w.withColumn("series", F.when(F.col("split") == "train", F.col("series")).otherwise(F.struct(F.array(F.lit(9.0)).alias("sensor_2"), F.array(F.lit(1.0)).alias("sensor_3"))))
     assert sorted(normalize.fit_on_windows(other, ["sensor_2", "sensor_3"]).collect()) == sorted(fitted.collect())
-    with pytest.raises(ValueError):
-        normalize.transform(w, fitted, ["sensor_9"])
+    for stats, said in (
+        (fitted.where("channel <> 'sensor_3'"), "no statistics of sensor_3"), (fitted.unionByName(fitted), "several statistics"),
+        (fitted.withColumn("scale", F.lit(0.0)), "no usable scale"), (fitted.withColumn("mean", F.lit(float("nan"))), "no usable mean"), (fitted.withColumn("samples", F.lit(0)), "no samples"),
+    ):
+        with pytest.raises(Exception, match=said):
+            normalize.transform(w, stats, ["sensor_2", "sensor_3"]).collect()
+    with pytest.raises(Exception, match="out of a float's range"):
+        normalize.transform(w.withColumn("series", F.struct(F.array(F.lit(1e300)).alias("sensor_2"))), fitted, ["sensor_2"]).collect()
     bad = spark.createDataFrame([("a", 1.0, 0.0, 5), ("b", float("nan"), 1.0, 5), ("c", 1.0, 1.0, 0), ("d", 1.0, 1.0, 1), ("d", 1.0, 1.0, 1)], "channel string, mean double, scale double, samples long")
     assert sorted(r.rule for r in normalize.stats_violations(bad).collect()) == ["copy", "mean", "samples", "scale"]
     assert normalize.stats_violations(fitted, w.select("unit", "split")).where("rule = 'unit'").count() == 2
@@ -95,6 +101,61 @@ def test_weighted_fit_and_repartitioning_change_nothing(spark, sf_dir):
     assert normalize.fit_on_rows(rows.limit(0), CHANNELS).count() == 0
 
 
+def test_moments_keep_their_digits_and_run_nothing_early(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    x = 1e9 + rng.normal(size=5000) * 1e-3
+    weight = rng.integers(0, 7, 5000)
+    frame = spark.createDataFrame([(float(v), float(i % 7), int(w)) for i, (v, w) in enumerate(zip(x, weight, strict=True))], "x double, y double, w int").repartition(9)
+    got = {r["column"]: r for r in moments.column_moments(frame, ["x", "y"], "w").collect()}
+    mean = np.average(x - 1e9, weights=weight)
+    assert got["x"]["n"] == weight.sum() and got["x"]["mean"] == pytest.approx(1e9 + mean, rel=1e-15)
+    assert got["x"]["deviation"] == pytest.approx(np.sqrt(np.average((x - 1e9 - mean) ** 2, weights=weight)), rel=1e-6)
+    part = moments.moment_parts(frame, ["x", "y"], None, True).first()
+    wanted = np.cov(np.array([x - 1e9, np.arange(5000) % 7.0]), bias=True) * 5000
+    size = np.sqrt(np.outer(np.diag(wanted), np.diag(wanted)))
+    assert np.allclose(np.array(part["m"]).reshape(2, 2) / size, wanted / size, atol=1e-5)
+    assert moments.column_moments(frame.where("w > 9"), ["x"]).count() == 0
+    rows = telemetry(spark, sf_dir)
+    tracker, group = spark.sparkContext.statusTracker(), "early"
+    spark.sparkContext.setJobGroup(group, group)
+    stats = normalize.fit_on_rows(rows, CHANNELS)
+    out = normalize.transform(windows.strided_windows(rows, CHANNELS), stats, CHANNELS)
+    assert len(tracker.getJobIdsForGroup(group)) == 0 and out.columns[-1] == "normal"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Scan parquet") == 1
+
+
+def test_segments_of_long_units_give_the_same_windows(spark):
+    size, stride = 7, 3
+    lives = {1: 6, 2: 7, 3: 8, 4: 31, 5: 1000}
+    rows = spark.createDataFrame([(u, c, c * 1.5, float(c % 11), "train") for u, n in lives.items() for c in range(1, n + 1)], "unit int, cycle int, a double, b double, split string").repartition(6)
+    plain = lambda frame: sorted((r.unit, r.cycle, r.window_start, r.rul, r.split, *r.series.a, *r.series.b) for r in frame.collect())
+    wanted = []
+    for u, n in lives.items():
+        for c in range(size, n + 1):
+            if (c - size) % stride == 0 or c == n:
+                span = range(c - size + 1, c + 1)
+                wanted.append((u, c, c - size + 1, n - c, "train", *(x * 1.5 for x in span), *(float(x % 11) for x in span)))
+    assert plain(windows.strided_windows(rows, ["a", "b"], size, stride)) == sorted(wanted)
+    for segment in (1, 3, 4, 10, 100, 5000):
+        assert plain(windows.strided_windows(rows, ["a", "b"], size, stride, segment)) == sorted(wanted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join partitions as small as these
+    tasks = windows.strided_windows(rows.where("unit = 5"), ["a"], size, stride, 50).select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks >= 4  # one unit on several tasks
+    with pytest.raises(Exception, match="don't follow one another"):
+        windows.strided_windows(rows.where("cycle <> 20"), ["a"], size, stride, 10).collect()
+    with pytest.raises(Exception, match="unit 1 has 6 only"):
+        windows.strided_windows(rows, ["a"], size, stride, strict=True).collect()
+    assert windows.strided_windows(rows.where("unit > 1"), ["a"], size, stride, strict=True).count() > 0
+    with pytest.raises(ValueError):
+        windows.require_size(rows, size)
+    windows.require_size(rows.where("unit > 1"), size)
+    gaps = rows.where("cycle <> 20 and unit = 4")
+    assert [tuple(r.series.a)[-1] for r in windows.strided_windows(gaps, ["a"], size, stride).orderBy("cycle").collect()][-1] == 46.5
+
+
 def test_scores(spark):
     rows = [("a", 10.0, 12.0), ("a", 20.0, float("nan")), ("b", 10.0, None), ("c", 50.0, 37.0), ("c", 50.0, 60.0)]
     got = {r.model: r for r in metrics.score_models(spark.createDataFrame(rows, "model string, truth double, prediction double")).collect()}
@@ -121,6 +182,14 @@ def test_ridge_as_in_closed_form(spark):
     xc, yc = x - x.mean(0), y - y.mean()
     w = np.linalg.solve(xc.T @ xc + 10 * np.eye(3), xc.T @ yc)
     assert np.allclose(model.coefficients.toArray(), w) and model.intercept == pytest.approx(y.mean() - x.mean(0) @ w)
+    own = models.ridge(frame.repartition(5), ["a", "b", "c"], "y", 10.0)
+    assert np.allclose(own.coefficients, w) and own.intercept == pytest.approx(model.intercept) and own.n == 80
+    left = models.ridge_left_over(frame, own, ["a", "b", "c"], "y").collect()
+    assert [r.feature for r in left] == ["a", "b", "c"] and all(abs(r.residual) < 1e-12 and r.n_windows == 80 for r in left)
+    worse = own._replace(coefficients=[c + 0.1 for c in own.coefficients])
+    assert all(abs(r.residual) > 1e-3 for r in models.ridge_left_over(frame, worse, ["a", "b", "c"], "y").collect()[:2])
+    with pytest.raises(ValueError):
+        models.ridge(frame.limit(0), ["a"], "y")
     got = frame.select(models.predict_ridge(frame, model, ["a", "b", "c"]).alias("p")).toPandas()["p"]
     assert np.allclose(got, x @ w + y.mean() - x.mean(0) @ w)
 
@@ -141,6 +210,8 @@ def test_predictors(spark):
         models.predict_batches(frame, make, ["unit"], 0)
     head = models.regression_head(np.eye(2), np.zeros(2), np.ones(2), 1.0)
     assert head(np.array([[[1.0, 0.0], [1.0, 0.0]]]))[0] == pytest.approx(0.8413447 + 1)
+    points = np.linspace(-8, 8, 2001)
+    assert np.abs(models.error_function(points) - [math.erf(p) for p in points]).max() < 1e-14
     b = models.shuffled_batches(frame, 1, 2)
     assert b.count() == 10 and b.groupBy("slice", "batch_no").count().where("count > 2").count() == 0
 
@@ -176,22 +247,3 @@ def test_filters_reach_the_scan_and_one_shuffle_serves_a_window(spark, sf_dir):
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and "event_type" not in plan
     plan = telemetry(spark, sf_dir).where("unit = 3").select("unit", "cycle")._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan and "props" not in plan
-
-
-def test_stream_gives_the_batch_windows(spark, sf_dir, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = windows.with_life(telemetry(spark, sf_dir)).withColumn("ended", F.col("cycle") == F.col("life"))
-    rows = rows.select("unit", "cycle", "sensor_4", "sensor_9", "ended").where("unit < 5")
-    # Several files, read one a batch, with cycles out of order across them.
-    for part in (1, 0, 2):
-        rows.where(F.pmod(F.col("cycle") * 7 + F.col("unit"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = streaming.run_to_table(streaming.stream_windows(stream, ["sensor_4", "sensor_9"]), "batches", str(tmp_path / "a"))
-    wanted = windows.strided_windows(telemetry(spark, sf_dir).where("unit < 5"), ["sensor_4", "sensor_9"])
-    key = lambda r, a, b: (r.unit, r.cycle, tuple(a), tuple(b))
-    assert sorted(key(r, r.sensor_4, r.sensor_9) for r in out.collect()) == sorted(key(r, r.series.sensor_4, r.series.sensor_9) for r in wanted.collect())
-    whole = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    assert streaming.run_to_table(streaming.stream_gaps(whole), "gaps", str(tmp_path / "b")).count() == 0
-    moments = {r.channel: r for r in streaming.run_to_table(streaming.stream_moments(stream, ["sensor_4"]), "moments", str(tmp_path / "c"), "complete").collect()}
-    n, mean, deviation = rows.agg(F.count("*"), F.avg("sensor_4"), F.stddev_pop("sensor_4")).first()
-    assert (moments["sensor_4"].n, moments["sensor_4"].mean, moments["sensor_4"].deviation) == pytest.approx((n, mean, deviation))
