@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kestrelflow.functions import numbers as N
 from kestrelflow.functions import text as T
 from kestrelflow.operators import assess, catalog, labels, metrics, models, normalize, validate, windows
-from kestrelflow.sources import files, raw_text, sinks
+from kestrelflow.sources import files, positions, raw_text, sinks
 from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, table, telemetry, with_provenance
 from kestrelflow.streaming import strict
 from kestrelflow.streaming import windows as streaming
@@ -645,7 +645,29 @@ def record_lookup(spark, sf_dir):
 def record_by_position(spark, sf_dir):
     """The record at place 17 of the training split."""
     ends = windows.with_life(telemetry(spark, sf_dir).select("unit", "cycle", "split")).where(windows.is_window_end(SIZE, STRIDE))
-    return files.record_at(ends, "train", 17).select("unit", "cycle", "rul")
+    place = f"{files.scratch(spark)}/positions-{uuid.uuid4().hex}"
+    held = positions.Positions.build(ends.select("split", "unit", "cycle", "rul"), ["unit", "cycle"], place, group="split")
+    return held.at(17, "train").select("unit", "cycle", "rul")
+
+
+@query(f"WITH {WINDOWS} SELECT unit, cycle, split, row_number() OVER (PARTITION BY split ORDER BY unit, cycle) - 1 AS place FROM windows")
+def record_positions(spark, sf_dir):
+    """Every record's place in its split, from sorted files and their index."""
+    ends = windows.with_life(telemetry(spark, sf_dir).select("unit", "cycle", "split")).where(windows.is_window_end(SIZE, STRIDE))
+    place = f"{files.scratch(spark)}/positions-{uuid.uuid4().hex}"
+    return positions.Positions.build(ends.select("split", "unit", "cycle"), ["unit", "cycle"], place, group="split").placed().select("unit", "cycle", "split", "place")
+
+
+@query(
+    """WITH leaves AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, sha256(concat_ws('|', event_id, user_id, event_type, props)) AS h FROM events),
+one AS (SELECT place // 1024 AS place, sha256(string_agg(h, '' ORDER BY place)) AS h FROM leaves GROUP BY place // 1024),
+two AS (SELECT place // 1024 AS place, sha256(string_agg(h, '' ORDER BY place)) AS h FROM one GROUP BY place // 1024)
+SELECT count(*) AS rows, CASE WHEN count(*) <= 1024 THEN (SELECT max(h) FROM one) ELSE (SELECT max(h) FROM two) END AS digest FROM events"""
+)
+def ordered_lines_digest(spark, sf_dir):
+    """A digest of all events in order, by a tree of hashes."""
+    e = table(spark, sf_dir, "events")
+    return positions.ordered_digest(e, ["event_id"], F.concat_ws("|", "event_id", "user_id", "event_type", "props"), files.scratch(spark))
 
 
 @query("SELECT dataset, domain FROM (VALUES ('turbofan-fleet-1', 'aerospace', true), ('bearing-vibration', 'industry', false), ('battery-cycles', 'energy', false), ('pump-sensors', 'industry', false)) c(dataset, domain, chosen) WHERE chosen ORDER BY dataset LIMIT 1")
