@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from kestrelflow.llm import decontam, lines
@@ -53,10 +55,11 @@ def test_against_full_alignment(spark):
         for i, item in items:
             m = normal(item)
             if len(m) >= q:
-                k = min(int(len(m) * rate), (len(m) - q) // q)
                 n = least_edits(m, normal(text))
-                if n <= k:
+                if n <= int(len(m) * rate):
                     wanted.append((d, i, n))
+            elif m and f" {m} " in f" {normal(text)} ":
+                wanted.append((d, i, 0))
     found = decontam.passages(frame, bench, q, rate).collect()
     assert sorted(((r.doc_id, r.item_id, r.edits) for r in found), key=str) == sorted(wanted, key=str)
     texts = {d: t for d, t in docs}
@@ -71,6 +74,65 @@ def test_against_full_alignment(spark):
     assert decontam.drop_contaminated(frame, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("q,rate", [(12, 0.06), (8, 0.2)])
+def test_items_of_any_length_by_full_alignment(spark, q, rate):
+    """Items of 1 to 50 characters: whole budgets of edits, and words where there is no room for any."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcd", k=n))
+    items = []
+    for m in range(1, 51):
+        text = " ".join(letters(5) for _ in range(m // 6 + 1))[:m].strip()
+        items.append((m, text.ljust(m, "e")))
+    docs = []
+    for d in range(120):
+        m = rng.randint(1, 50)
+        text = list(items[m - 1][1])
+        for _ in range(rng.randint(0, int(m * rate) + 1)):
+            text[rng.randrange(len(text))] = rng.choice(["x", "", "yz"])
+        docs.append((d, " ".join([letters(6), "".join(text), letters(4)])))
+    docs += [(500, items[4][1]), (501, items[2][1] + "."), (502, "x" + items[7][1])]
+    wanted = []
+    for d, text in docs:
+        for i, item in items:
+            m, t = normal(item), normal(text)
+            k = int(len(m) * rate)
+            if len(m) < q and not k:
+                if f" {m} " in f" {t} ":
+                    wanted.append((d, i, 0))
+            elif least_edits(m, t) <= k:
+                wanted.append((d, i, least_edits(m, t)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.passages(frame, bench, q, rate).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in found) == sorted(wanted) and len(wanted) > 60
+
+
+def test_items_with_one_stem_by_full_alignment(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    stem = " ".join(word() for _ in range(18))
+    items = [(i, f"{stem} " + " ".join(word() for _ in range(rng.randint(3, 9)))) for i in range(30)] + [(50, stem + " x"), (51, word() * 12)]
+    edited = lambda t, n: "".join(rng.choice(["z", c + c, ""]) if rng.random() < n / len(t) else c for c in t)
+    docs = [(d, " ".join([word(), edited(items[d % 31][1], rng.choice([0, 2, 5, 9])), word()])) for d in range(60)]
+    docs += [(100, f"{stem} " * 5), (101, f"{stem} {word()} {items[3][1]} {stem}"), (102, items[4][1] + " " + items[4][1])]
+    wanted = sorted((d, i, n) for d, t in docs for i, m in items if (n := least_edits(normal(m), normal(t))) <= int(len(normal(m)) * 0.06))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.passages(frame, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in found) == wanted and len(wanted) > 30
+    texts = dict(docs)
+    assert all(normal(texts[r.doc_id][r.start : r.end]) == normal(dict(items)[r.item_id]) for r in found if r.edits == 0)
+
+
+def test_a_stem_of_many_items_costs_little():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    stem = " ".join(word() for _ in range(35))
+    held = decontam.Benchmark(list(range(2000)), [f"{stem} " + " ".join(word() for _ in range(9)) for _ in range(2000)], 12, 0.06)
+    data = np.frombuffer((f"{stem} " * 100).encode(), np.uint8)
+    began = time.process_time()
+    assert len(held.matches(data, np.array([0, len(data)]), decontam.Characters())[0]) == 0
+    assert time.process_time() - began < 20
+
+
 def test_common_grams_and_bounded_steps(spark, monkeypatch):
     """Items that share most of their text: what is left out of the index loses no match."""
     rng = random.Random(12)
