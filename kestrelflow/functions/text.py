@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,11 +86,11 @@ def question_route(prompt: Column, generated: Column) -> Column:
     )
 
 
-def masked_tokens(prompt_ids: Column, response_ids: Column, length: int, begin: int = 1, end: int = 2, ignore: int = -100) -> Column:
+def masked_tokens(prompt_ids: Column, response_ids: Column, length: int, begin: int = 1, end: int = 2, ignore: int = -100, padding: int | None = None) -> Column:
     """A struct of input ids, attention mask, labels and whether they fit.
 
     The prompt starts with `begin` and has ignored labels; the response ends with `end`; both are
-    padded with `end`. What is too long is never cut: its arrays are null and `fits` is false.
+    padded with `padding` (`end` by default). What is too long is never cut: its arrays are null and `fits` is false.
     """
     if type(length) is not int or length < 1:
         raise ValueError("length must be a positive whole number")
@@ -99,7 +101,7 @@ def masked_tokens(prompt_ids: Column, response_ids: Column, length: int, begin:
     repeat = lambda v, n: F.array_repeat(F.lit(v), n)
     fits = used <= length
     return F.struct(
-        F.when(fits, F.concat(head, tail, repeat(end, rest))).alias("input_ids"),
+        F.when(fits, F.concat(head, tail, repeat(end if padding is None else padding, rest))).alias("input_ids"),
         F.when(fits, F.concat(repeat(1, used), repeat(0, rest))).alias("attention_mask"),
         F.when(fits, F.concat(repeat(ignore, F.size(head)), tail, repeat(ignore, rest))).alias("labels"),
         fits.alias("fits"),
@@ -122,17 +124,46 @@ def word_ids(text: Column, first: int = 10, size: int = 1 << 30) -> Column:
     return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(size)) + first).cast("int"))
 
 
-def token_ids(make: Callable[[], Callable[[str], list[int]]]) -> Callable[[Column], Column]:
-    """A column function of any tokenizer: `make` gives, once a batch of rows, what encodes one text without special tokens."""
+class Tokenizer(Protocol):
+    """What a tokenizer has to offer: ids of a text without special tokens, and the ids that begin, end and pad."""
+
+    begin_id: int
+    end_id: int
+    padding_id: int
+
+    def encode(self, text: str) -> list[int]: ...
+
+
+class HashedWords:
+    """A tokenizer without a vocabulary: each word between white space has an id from 10 on, by a hash of its bytes."""
+
+    begin_id, end_id, padding_id = 1, 2, 0
+
+    def encode(self, text: str) -> list[int]:
+        return [zlib.crc32(w.encode()) % (1 << 30) + 10 for w in text.split()]
+
+
+def token_ids(make: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
+    """A column function of any tokenizer: `make` gives one, once a task. A null text has null ids."""
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = make()
-        return texts.map(lambda t: None if t is None else own(t))
+        for texts in parts:
+            yield texts.map(lambda t: None if t is None else own.encode(t))
 
     return encode
 
 
+def tokenized(rows: DataFrame, make: Callable[[], Tokenizer], prompt: str, response: str, length: int) -> DataFrame:
+    """The rows with `tokens`, as masked_tokens() has them, by a tokenizer's own ids; `prompt` and `response` are columns of text."""
+    own = make()
+    ids = token_ids(make)
+    listed = rows.withColumns({"_prompt": ids(F.col(prompt)), "_response": ids(F.col(response))})
+    whole = masked_tokens(F.col("_prompt"), F.col("_response"), length, own.begin_id, own.end_id, padding=own.padding_id)
+    return listed.withColumn("tokens", whole).drop("_prompt", "_response")
+
+
 #: Questions a user may start from, by name.
 PRESETS = {
     "state": "What state is the unit in, and why?",
@@ -146,3 +177,11 @@ def prompt_preset(name: str) -> str:
     if name not in PRESETS:
         raise ValueError(f"no preset {name}; there are {', '.join(sorted(PRESETS))}")
     return PRESETS[name]
+
+
+def preset_prompt(name: Column) -> Column:
+    """The question of a preset's name; null for another name."""
+    out = F.lit(None).cast("string")
+    for key in PRESETS:
+        out = F.when(name == key, prompt_preset(key)).otherwise(out)
+    return out

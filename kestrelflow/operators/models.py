@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from typing import NamedTuple
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -124,6 +125,53 @@ def predict_batches(rows: DataFrame, make: Callable[[], Predictor], keys: Sequen
     return rows.mapInPandas(run, f"{kinds}, prediction double")
 
 
+class Embedder(Protocol):
+    """What an embedder has to offer: how long its vectors are, and a vector for each step of each row.
+
+    `embed` takes arrays (rows, steps, values) and gives (rows, steps, width).
+    """
+
+    width: int
+
+    def embed(self, values: np.ndarray) -> np.ndarray: ...
+
+
+class Unchanged:
+    """An embedder that leaves each step's values as they are."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def embed(self, values: np.ndarray) -> np.ndarray:
+        return values
+
+
+def mean_embeddings(rows: DataFrame, make: Callable[[], Embedder], keys: Sequence[str], values: str, steps: int = 1, batch: int = 1024) -> DataFrame:
+    """(keys, embedding): each row's array of values in `steps` equal parts, embedded and averaged over the parts.
+
+    The embedder is made once a task and called on batches of at most `batch` rows. A null array, and
+    one with a null or of a length that isn't the task's first one's, has a null embedding.
+    """
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, length = make(), None
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):
+                part = whole.slice(i, batch)
+                lists = part.column("_values").to_pylist()
+                length = length or next((len(v) for v in lists if v), None)
+                good = [r for r, v in enumerate(lists) if v and len(v) == length and length % steps == 0 and None not in v]
+                out: list = [None] * len(lists)
+                if good:
+                    x = np.array([lists[r] for r in good], float).reshape(len(good), steps, -1)
+                    for r, e in zip(good, own.embed(x).mean(axis=1).tolist(), strict=True):
+                        out[r] = e
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(out, pa.list_(pa.float64()))], [*keys, "embedding"])
+
+    return rows.select(*keys, F.col(values).cast("array<double>").alias("_values")).mapInArrow(run, f"{kinds}, embedding array<double>")
+
+
 def patch_encoder(weights: np.ndarray, bias: np.ndarray) -> Callable[[], Predictor]:
     """A predictor over `patches` (arrays of patches): linear map, layer norm, mean over patches, sum as the value."""
 

@@ -328,9 +328,9 @@ def staged(spark, sf_dir):
     return w.withColumn("staged_status", labels.band(F.col("effective"))).withColumn("projected", known)
 
 
-@query(f"WITH {WINDOWS}, {STAGED} SELECT unit, cycle, split, rul, effective, staged_status, split = 'test' AS withheld FROM states")
+@query(f"WITH {WINDOWS}, {STAGED} SELECT unit, cycle, split, rul, effective, staged_status, CASE WHEN split <> 'test' THEN rul END AS projected, split = 'test' AS withheld FROM states")
 def heuristic_staging(spark, sf_dir):
-    return staged(spark, sf_dir).select("unit", "cycle", "split", "rul", "effective", "staged_status", F.col("projected").isNull().alias("withheld"))
+    return staged(spark, sf_dir).select("unit", "cycle", "split", "rul", "effective", "staged_status", "projected", ((F.col("split") == "test") & F.col("projected").isNull()).alias("withheld"))
 
 
 @query(
@@ -382,7 +382,11 @@ def evidence_lines(spark, sf_dir):
     f"""WITH {WINDOWS}, e AS (SELECT unit, cycle, rul, sensor_4_drift AS d4, sensor_11_drift AS d11, CASE WHEN unit % 3 = 0 THEN NULL ELSE CAST(120 - cycle % 120 AS DOUBLE) END AS p FROM windows)
 SELECT unit, cycle, p AS predicted, CAST(round(abs(p - rul), 1) AS DOUBLE) AS abs_error, CASE WHEN p <= 30 THEN 'CRITICAL_WEAR' WHEN p <= 75 THEN 'ELEVATED_WEAR' WHEN p > 75 THEN 'NOMINAL_ENVELOPE' END AS wear,
   CASE WHEN p IS NULL THEN NULL WHEN d4 > 2 AND d11 < -0.15 THEN 'Both thresholds met' ELSE 'Combined thresholds not met' END AS rule_match,
-  CASE WHEN p IS NULL THEN NULL WHEN cycle % 3 = 0 THEN 'upkeep' WHEN cycle % 3 = 1 THEN 'route' WHEN unit % 2 = 0 THEN 'generated' ELSE 'fallback' END AS route FROM e"""
+  CASE WHEN p IS NULL THEN NULL WHEN cycle % 3 = 0 THEN 'upkeep' WHEN cycle % 3 = 1 THEN 'route' WHEN unit % 2 = 0 THEN 'generated' ELSE 'fallback' END AS route,
+  CASE WHEN p IS NULL THEN NULL WHEN cycle % 3 = 0 THEN 'Observed by rule, not a diagnosis:' || chr(10) || 'Temperature: ' || printf('%+.4f', d4) || chr(10) || 'Pressure: ' || printf('%+.4f', d11) || chr(10) ||
+    'Rule: ' || CASE WHEN d4 > 2 AND d11 < -0.15 THEN 'Both thresholds met' ELSE 'Combined thresholds not met' END || '.' || chr(10) || 'At ' || printf('%.1f', p) || ' cycles: ' || todo
+    WHEN cycle % 3 = 1 THEN printf('%.1f', p) || ' cycles are estimated to remain. This is no clearance for any route.' WHEN unit % 2 = 0 THEN 'Generated, unverified:' || chr(10) || 'fine' ELSE 'By rule: ' || todo END AS answer
+FROM (SELECT *, CASE WHEN p <= 30 THEN 'Inspect within ' || CAST(greatest(1, floor(p) - 5) AS INTEGER) || ' cycles.' WHEN p <= 75 THEN 'Plan an inspection within ' || CAST(greatest(1, floor(p) - 5) AS INTEGER) || ' cycles.' ELSE 'Keep to the regular schedule.' END AS todo FROM e)"""
 )
 def assessments(spark, sf_dir):
     """Assessments of all windows with questions on every route; units divisible by three have no prediction."""
@@ -391,7 +395,7 @@ def assessments(spark, sf_dir):
     w = w.withColumn("predicted", F.when(F.col("unit") % 3 != 0, models.static_schedule(F.col("cycle"))).otherwise(F.lit(float("nan"))))
     a = assess.assess(w, {"sensor_4": "Temperature", "sensor_11": "Pressure"}, "sensor_4", "sensor_11")
     out = F.col("assessment")
-    return a.select("unit", "cycle", out["predicted_rul"].alias("predicted"), out["abs_error"].alias("abs_error"), out["wear"].alias("wear"), out["rule_match"].alias("rule_match"), out["route"].alias("route"))
+    return a.select("unit", "cycle", out["predicted_rul"].alias("predicted"), out["abs_error"].alias("abs_error"), out["wear"].alias("wear"), out["rule_match"].alias("rule_match"), out["route"].alias("route"), out["answer"].alias("answer"))
 
 
 @query(
@@ -670,10 +674,17 @@ def ordered_lines_digest(spark, sf_dir):
     return positions.ordered_digest(e, ["event_id"], F.concat_ws("|", "event_id", "user_id", "event_type", "props"), files.scratch(spark))
 
 
-@query("SELECT dataset, domain FROM (VALUES ('turbofan-fleet-1', 'aerospace', true), ('bearing-vibration', 'industry', false), ('battery-cycles', 'energy', false), ('pump-sensors', 'industry', false)) c(dataset, domain, chosen) WHERE chosen ORDER BY dataset LIMIT 1")
+@query(
+    """SELECT s_suppkey AS dataset, n_name AS domain, s_acctbal AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey
+WHERE s_acctbal > 0 AND n_regionkey = 3 ORDER BY s_suppkey LIMIT 1"""
+)
 def candidate_choice(spark, sf_dir):
-    """The first chosen candidate of an inline table."""
-    return files.candidates(spark).where("chosen").orderBy("dataset").limit(1).select("dataset", "domain")
+    """The first chosen one of a table of candidates, by id: suppliers of a region stand for datasets of a domain."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    listed = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("dataset"), F.col("n_name").alias("domain"), F.col("s_acctbal").alias("size"), ((F.col("s_acctbal") > 0) & (F.col("n_regionkey") == 3)).alias("chosen")
+    )
+    return files.first_chosen(listed).select("dataset", "domain", "size")
 
 
 # Text.
@@ -716,8 +727,8 @@ SELECT doc_id, n + 4 <= 64 AS fits, CASE WHEN n + 4 <= 64 THEN CAST(64 AS INTEGE
 )
 def token_mask_pad(spark, sf_dir):
     """Documents as prompts with a two-word response, padded to 64; longer ones don't fit and are never cut."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    m = d.select("doc_id", T.masked_tokens(T.word_ids(F.col("text")), F.array(F.lit(98), F.lit(99)), 64).alias("m"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.lit("one two").alias("response"))
+    m = T.tokenized(d, T.HashedWords, "text", "response", 64).select("doc_id", F.col("tokens").alias("m"))
     count = lambda a, v: F.size(F.filter(a, v))
     fits = F.col("m.fits")
     return m.select(
@@ -737,8 +748,9 @@ def row_sha256(spark, sf_dir):
 
 @query("SELECT label, count(*) AS n, round(avg(m), 6) AS mean FROM (SELECT label, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS m FROM embeddings) GROUP BY label")
 def embedding_mean_pool(spark, sf_dir):
-    """Mean over dimensions, then over the vectors of a label."""
-    e = table(spark, sf_dir, "embeddings").select("label", N.array_mean(F.col("embedding").cast("array<double>")).alias("m"))
+    """Each vector's values as steps of one value, pooled by a plug-in, then averaged over the vectors of a label."""
+    pooled = models.mean_embeddings(table(spark, sf_dir, "embeddings"), lambda: models.Unchanged(1), ["vec_id", "label"], "embedding", steps=64)
+    e = pooled.select("label", F.get("embedding", F.lit(0)).alias("m"))
     return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"))
 
 
@@ -864,11 +876,16 @@ def registered_predictors(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query(f"SELECT channel, CAST(split_part(channel, '_', 2) AS INTEGER) AS number FROM (SELECT unnest([{', '.join(repr(c) for c in CHANNELS)}]) AS channel)")
+@query(
+    f"""WITH {WINDOWS}, s AS ({' UNION ALL '.join(f"SELECT '{c}' AS channel FROM windows" for c in CHANNELS)})
+SELECT channel, CAST(split_part(channel, '_', 2) AS INTEGER) AS number, count(*) AS series FROM s GROUP BY channel"""
+)
 def channel_numbers(spark, sf_dir):
-    """The numbers in the channels' names."""
-    names = telemetry(spark, sf_dir).limit(1).unpivot([], list(CHANNELS), "channel", "v")
-    return names.select("channel", N.name_number(F.col("channel")).alias("number"))
+    """The numbers in the names of channels, with how many windows have a series of each."""
+    w = strided(spark, sf_dir)
+    long = w.select(F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.size(F.col("series")[c]).alias("n")) for c in CHANNELS))).alias("s")).select("s.*")
+    counted = long.where("n > 0").groupBy("channel").agg(F.count("*").alias("series"))
+    return counted.select("channel", N.name_number(F.col("channel")).alias("number"), "series")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
@@ -885,10 +902,16 @@ def report_numbers(spark, sf_dir):
     return lines.select(F.col("l_returnflag").alias("flag"), N.thousands(F.col("n")).alias("lines"), N.percent(share).alias("share"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in T.PRESETS.items()) + ") p(name, prompt)")
+@query(
+    f"""WITH {WINDOWS}, p(preset, prompt) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in T.PRESETS.items())})
+SELECT unit, cycle, preset, prompt FROM windows JOIN p ON preset = CASE WHEN rul <= 30 THEN 'upkeep' WHEN rul <= 75 THEN 'remaining' WHEN unit % 2 = 0 THEN 'route' ELSE 'state' END"""
+)
 def prompt_presets(spark, sf_dir):
-    """Questions a user may start from."""
-    return spark.createDataFrame([(k, T.prompt_preset(k)) for k in T.PRESETS], "name string, prompt string")
+    """The preset question that each window is asked by its band."""
+    ends = windows.with_life(telemetry(spark, sf_dir).select("unit", "cycle")).where(windows.is_window_end(SIZE, STRIDE))
+    status = labels.band(F.col("rul"))
+    name = F.when(status == "CRITICAL", "upkeep").when(status == "WARNING", "remaining").when(F.col("unit") % 2 == 0, "route").otherwise("state")
+    return ends.select("unit", "cycle", name.alias("preset"), T.preset_prompt(name).alias("prompt"))
 
 
 @query("SELECT event_id, round(value + CAST(0.01 AS DOUBLE) * pow(value - CAST(json_extract_string(props, '$.k') AS DOUBLE), 2), 6) AS loss FROM events")

@@ -127,9 +127,14 @@ def candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CANDIDATES), "dataset string, domain string, run_to_failure boolean, telemetry string, chosen boolean")
 
 
+def first_chosen(frame: DataFrame) -> DataFrame:
+    """The first chosen candidate by id, or no row."""
+    return frame.where("chosen").orderBy("dataset").limit(1)
+
+
 def chosen_candidate(frame: DataFrame) -> Row:
     """The first chosen candidate by id; an error without one."""
-    found = frame.where("chosen").orderBy("dataset").limit(1).collect()
+    found = first_chosen(frame).collect()
     if not found:
         raise ValueError("no dataset is chosen")
     return found[0]

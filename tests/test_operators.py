@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from kestrelflow.functions import numbers as N
@@ -226,14 +227,47 @@ def test_text(spark):
     assert value(spark, mask) == [1, 1, 1, 1, 0] and value(spark, labelled) == [-100, -100, 10, 2, -100]
     a, b, again, c = value(spark, T.word_ids(F.lit("a b  a\nc")))
     assert a == again and len({a, b, c}) == 3 and min(a, b, c) >= 10
-    own = spark.createDataFrame([("a bb",), (None,)], "t string").select(T.token_ids(lambda: lambda t: [len(w) for w in t.split()])("t").alias("ids"))
-    assert [r.ids for r in own.collect()] == [[1, 2], None]
+    made = spark.sparkContext.accumulator(0)
+
+    class Lengths:
+        begin_id, end_id, padding_id = 7, 8, 9
+
+        def encode(self, text):
+            return [len(w) for w in text.split()]
+
+    def make():
+        if TaskContext.get() is not None:
+            made.add(1)
+        return Lengths()
+
+    own = spark.createDataFrame([("a bb", "ccc"), (None, "x")] + [("a", "b")] * 50, "p string, r string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    got = [r.tokens for r in T.tokenized(own, make, "p", "r", 6).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (got[0].input_ids, got[0].attention_mask, got[0].labels) == ([7, 1, 2, 3, 8, 9], [1] * 5 + [0], [-100] * 3 + [3, 8, -100]) and got[1].input_ids is None
+    assert made.value == 2  # once for each of the two columns in the one task, not once a batch
+    assert T.HashedWords().encode("a b  a\nc")[0] == T.HashedWords().encode("a")[0] >= 10
     with pytest.raises(ValueError):
         T.masked_tokens(F.array(), F.array(), 0)
     for prompt, said, wanted in (("Which PART?", "", "upkeep"), ("departure to LHR", "", "upkeep"), ("fly to LHR", "", "route"), ("hello", " x ", "generated"), ("hello", " ", "fallback")):
         assert value(spark, T.question_route(F.lit(prompt), F.lit(said))) == wanted
 
 
+def test_embedders_once_a_task(spark):
+    class Doubled:
+        width = 2
+
+        def embed(self, values):
+            assert values.shape[1:] == (3, 2)
+            return values * 2
+
+    rows = [(1, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), (2, None), (3, [1.0]), (4, [1.0, None, 3.0, 4.0, 5.0, 6.0]), (5, [0.0] * 6)]
+    frame = spark.createDataFrame(rows, "k int, v array<double>").coalesce(1)
+    got = {r.k: r.embedding for r in models.mean_embeddings(frame, Doubled, ["k"], "v", steps=3, batch=2).collect()}
+    assert got == {1: [6.0, 8.0], 2: None, 3: None, 4: None, 5: [0.0, 0.0]}
+    assert models.mean_embeddings(frame.limit(0), Doubled, ["k"], "v", steps=3).count() == 0
+
+
 def test_catalog(spark, sf_dir):
     w = windows.strided_windows(telemetry(spark, sf_dir), CHANNELS).withColumn("record_id", labels.record_id(F.col("unit"), F.col("cycle")))
     assert catalog.time_series(w, CHANNELS).select("sensor").distinct().count() == 5
