@@ -19,11 +19,11 @@ def fits_float(x: Column) -> Column:
 
 
 def window_violations(windows: DataFrame, channels: Sequence[str], size: int, split_of: Column | None = None) -> DataFrame:
-    """(record_id, rule) of every rule a record breaks: shape, finite, split, rul, target, copy.
+    """(record_id, rule) of every rule a record breaks: shape, finite, split, rul, target, rationale, copy.
 
     shape: a channel is missing or not `size` long; finite: a value isn't; split: the declared split
     isn't the unit's (`split_of`); rul: not finite, negative or beyond 32-bit floats; target: blank
-    (only where there is such a column); copy: the id is null or occurs again.
+    (only where there is such a column); rationale: null (likewise); copy: the id is null or occurs again.
     """
     whole_number(size, "size")
     series = [F.col("series")[c] for c in channels]
@@ -38,6 +38,8 @@ def window_violations(windows: DataFrame, channels: Sequence[str], size: int, sp
         rules["rul"] = ~F.coalesce(fits_float(rul) & (rul >= 0), F.lit(False))
     if "target" in windows.columns:
         rules["target"] = ~F.coalesce(F.col("target").rlike(r"\S"), F.lit(False))
+    if "rationale" in windows.columns:
+        rules["rationale"] = F.col("rationale").isNull()
     broken = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())), lambda x: x.isNotNull())
     out = windows.select("record_id", F.explode(broken).alias("rule"))
     copies = windows.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1 or record_id is null")

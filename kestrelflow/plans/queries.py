@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from kestrelflow.functions import numbers as N
 from kestrelflow.functions import text as T
-from kestrelflow.operators import assess, catalog, labels, metrics, models, normalize, validate, windows
+from kestrelflow.operators import assess, catalog, enrich, labels, metrics, models, normalize, validate, windows
 from kestrelflow.sources import files, positions, raw_text, sinks
-from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, table, telemetry, with_provenance
+from kestrelflow.sources.telemetry import CHANNELS, split_by_digit, split_registry, table, telemetry, with_provenance, with_registered_split
 from kestrelflow.streaming import strict
 from kestrelflow.streaming import windows as streaming
 
@@ -401,7 +401,7 @@ def assessments(spark, sf_dir):
 @query(
     f"""WITH {WINDOWS}, r AS (SELECT unit, cycle, rul, printf('FD001-U%03d-C%04d', unit, CASE WHEN cycle = 35 THEN 30 ELSE cycle END) AS record_id FROM windows)
 SELECT record_id, 'split' AS rule FROM r WHERE unit % 10 = 3 UNION ALL SELECT record_id, 'rul' FROM r WHERE rul = 0 UNION ALL SELECT record_id, 'target' FROM r WHERE cycle = 40
-UNION ALL SELECT record_id, 'finite' FROM r WHERE unit % 7 = 0 UNION ALL SELECT record_id, 'shape' FROM r WHERE unit % 11 = 0
+UNION ALL SELECT record_id, 'rationale' FROM r WHERE cycle = 45 UNION ALL SELECT record_id, 'finite' FROM r WHERE unit % 7 = 0 UNION ALL SELECT record_id, 'shape' FROM r WHERE unit % 11 = 0
 UNION ALL SELECT record_id, 'copy' FROM r GROUP BY record_id HAVING count(*) > 1"""
 )
 def record_violations(spark, sf_dir):
@@ -410,7 +410,7 @@ def record_violations(spark, sf_dir):
     w = strided(spark, sf_dir).select(
         labels.record_id(unit, F.when(F.col("cycle") == 35, 30).otherwise(F.col("cycle"))).alias("record_id"), "unit",
         F.when(unit % 10 == 3, "test").otherwise(F.col("split")).alias("split"), F.when(F.col("rul") == 0, -1).otherwise(F.col("rul")).alias("rul"),
-        F.when(F.col("cycle") == 40, " ").otherwise("x").alias("target"),
+        F.when(F.col("cycle") == 40, " ").otherwise("x").alias("target"), F.when(F.col("cycle") != 45, "").alias("rationale"),
         F.struct(
             F.when(unit % 11 == 0, F.slice(series["sensor_4"], 1, 29)).otherwise(series["sensor_4"]).alias("sensor_4"),
             F.when(unit % 7 == 0, F.transform(series["sensor_9"], lambda x: x * 1e40)).otherwise(series["sensor_9"]).alias("sensor_9"),
@@ -419,6 +419,34 @@ def record_violations(spark, sf_dir):
     return validate.window_violations(w, ("sensor_4", "sensor_9"), SIZE, split_by_digit(unit))
 
 
+@query(
+    """WITH reg AS (SELECT CAST(i AS INTEGER) AS unit, CASE WHEN i <= 70 THEN 'train' WHEN i <= 80 THEN 'validation' ELSE 'test' END AS split FROM range(1, 101) t(i))
+SELECT e.event_id, CAST(e.user_id AS INTEGER) AS unit, split FROM events e JOIN reg ON e.user_id = reg.unit"""
+)
+def registered_splits(spark, sf_dir):
+    """Events of the original fleet's units with the split that the registry has for them."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("int").alias("unit"))
+    return with_registered_split(e, split_registry(spark)).select("event_id", "unit", "split")
+
+
+@query(
+    f"""WITH {WINDOWS}, r AS (SELECT *, round(sensor_4_drift, 4) + CAST(0 AS DOUBLE) AS d4, round(sensor_11_drift, 4) + CAST(0 AS DOUBLE) AS d11 FROM windows),
+s AS (SELECT *, coalesce(CASE WHEN split <> 'test' THEN rul END, CASE WHEN d4 > 8 OR d11 < -0.4 THEN 20 WHEN d4 > 3 OR d11 < -0.15 THEN 55 ELSE 120 END) AS e FROM r),
+b AS (SELECT *, CASE WHEN e <= 30 THEN 'CRITICAL' WHEN e <= 75 THEN 'WARNING' ELSE 'NORMAL' END AS st FROM s),
+d AS (SELECT *, CASE st WHEN 'CRITICAL' THEN 'Inspect within ' || CASE WHEN split = 'test' THEN 5 ELSE greatest(1, e - 5) END || ' cycles.'
+  WHEN 'WARNING' THEN 'Plan an inspection within ' || CASE WHEN split = 'test' THEN 25 ELSE greatest(5, e - 15) END || ' cycles.' ELSE 'Keep to the regular schedule.' END AS todo FROM b)
+SELECT printf('FD001-U%03d-C%04d', unit, cycle) AS record_id, rul, st AS status, st || ': ' || todo AS target, split = 'test' AS withheld FROM d"""
+)
+def enriched_records(spark, sf_dir):
+    """Every record with status and target by its staged report, written to a file of records and enriched into another."""
+    place = f"{files.scratch(spark)}/enrich-{uuid.uuid4().hex}"
+    w = strided(spark, sf_dir).withColumn("unit_number", F.col("unit"))
+    sinks.write_windows(w, CHANNELS, f"{place}/windows")
+    enrich.enrich_file(spark, f"{place}/windows", f"{place}/enriched", CHANNELS)
+    kinds = "record_id string, rul int, status string, target string, withheld boolean"
+    return spark.read.schema(kinds).json(f"{place}/enriched")
+
+
 # Normalisation.
 
 

@@ -9,9 +9,10 @@ import tempfile
 import urllib.request
 from collections.abc import Callable, Sequence
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 
 def window_schema(channels: Sequence[str]) -> str:
@@ -46,8 +47,18 @@ def lookup(rows: DataFrame, unit: int, cycle: int) -> Row:
     return found[0]
 
 
+#: Bytes of a file that one partition reads.
+BLOCK_BYTES = 64 << 20
+
+
 class WindowLines(DataSource):
-    """spark.read.format("window_lines"): window records of one or more JSON line files, a partition per file."""
+    """spark.read.format("window_lines"): window records of JSON line files, by ranges of bytes.
+
+    `path` is one or more files or folders, split by commas: local paths or addresses of a store that
+    Arrow opens (file, s3, gs, hdfs). A file of over `block` bytes is several partitions. With option
+    `push` true, which needs spark.sql.python.filterPushdown.enabled, a filter on `split` is pushed
+    down: lines of other splits aren't made rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -57,24 +68,78 @@ class WindowLines(DataSource):
         return "record_id string, unit_number int, cycle int, split string, rul int, series map<string, array<double>>"
 
     def reader(self, schema):
-        return _LinesReader(self.options["path"].split(","))
+        kind = _PushingReader if str(self.options.get("push", "")).lower() == "true" else _LinesReader
+        return kind(self.options["path"].split(","), int(self.options.get("block", BLOCK_BYTES)))
+
+
+def _place(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(path) if ":/" in path else (arrow_fs.LocalFileSystem(), os.path.abspath(path))
 
 
 class _LinesReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], block: int):
+        self.paths, self.block, self.split = paths, block, None
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        parts = []
+        for path in self.paths:
+            store, at = _place(path)
+            info = store.get_file_info(at)
+            if info.type == arrow_fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            held = store.get_file_info(arrow_fs.FileSelector(at)) if info.type == arrow_fs.FileType.Directory else [info]
+            for f in sorted(held, key=lambda f: f.path):
+                if f.is_file and not f.base_name.startswith(("_", ".")):
+                    parts += [InputPartition((path, f.path, a, min(a + self.block, f.size))) for a in range(0, f.size, self.block)]
+        return parts
 
     def read(self, partition):
+        import io
         import json as codec
 
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
+        path, at, start, end = partition.value
+        with _place(path)[0].open_input_file(at) as raw:
+            raw.seek(max(0, start - 1))
+            lines = io.BufferedReader(raw, 1 << 20)
+            place = start
+            if start:  # a line belongs to the range it begins in
+                place += len(lines.readline()) - 1
+            while place < end and (line := lines.readline()):
+                place += len(line)
                 if line.strip():
                     r = codec.loads(line)
-                    yield r["record_id"], r["unit_number"], r["cycle"], r.get("split"), r.get("rul"), r["series"]
+                    if self.split is None or r.get("split") == self.split:
+                        yield r["record_id"], r["unit_number"], r["cycle"], r.get("split"), r.get("rul"), r["series"]
+
+
+class _PushingReader(_LinesReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("split",) and self.split is None:
+                self.split = f.value
+            else:
+                yield f
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has something there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def window_records(spark: SparkSession, candidates: Sequence[str], channels: Sequence[str], build: Callable[[str], None] | None = None, split: str | None = None) -> DataFrame:
+    """Window records of the first candidate that is there, such as a local file, then a cache; else `build` makes the last one.
+
+    Spark's own reader reads them, in splits, from any store it knows; a filter on `split` is pushed into it.
+    """
+    found = next((p for p in candidates if path_exists(spark, p)), None)
+    if found is None:
+        if build is None:
+            raise FileNotFoundError("; ".join(candidates))
+        found = candidates[-1]
+        build(found)
+    rows = read_windows(spark, found, channels)
+    return rows if split is None else rows.where(F.col("split") == split)
 
 
 class Datasets:

@@ -29,6 +29,17 @@ def fleet_split(unit: Column) -> Column:
     return out
 
 
+def split_registry(spark: SparkSession) -> DataFrame:
+    """(unit, split) of the original fleet, a row for each of its units."""
+    rows = [(u, name) for name, (a, b) in FLEET_SPLITS.items() for u in range(a, b + 1)]
+    return spark.createDataFrame(rows, "unit int, split string")
+
+
+def with_registered_split(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """The rows of registered units with their split; Spark broadcasts a registry that is small enough."""
+    return rows.drop("split").join(registry.select("unit", "split"), "unit")
+
+
 def with_provenance(rows: DataFrame, **facts) -> DataFrame:
     """The rows with `provenance`, a struct of the same facts for every row."""
     return rows.withColumn("provenance", F.struct(*(F.lit(v).alias(k) for k, v in facts.items())))

@@ -151,3 +151,60 @@ def test_datasets_candidates_and_lookup(spark, tmp_path):
     doc.write_text('{\n"a": 1,\n"b": [2.5]}')
     assert files.read_document(spark, str(doc), "a int, b array<double>").first() == (1, [2.5])
     assert files.describe(w.select("cycle")).count() == 5
+
+
+def line(i, split="train", **more):
+    return json.dumps({"record_id": f"r{i}", "unit_number": i, "cycle": 3, "split": split, "rul": 20 + i, "series": {"sensor_4": [1.0, 2.0, 5.5], "sensor_11": [2.0, 1.9, 1.5]}} | more)
+
+
+def test_byte_ranges_of_a_file_make_its_lines_once(spark, tmp_path):
+    spark.dataSource.register(files.WindowLines)
+    (tmp_path / "in").mkdir()
+    lines = [line(i, ("train", "test")[i % 2], prompt="é" * (i % 40)) for i in range(300)]
+    (tmp_path / "in" / "a.json").write_text("\n".join([*lines[:200], "", "  "]) + "\n")
+    (tmp_path / "in" / "b.json").write_text("\n".join(lines[200:]))  # without a last line feed
+    (tmp_path / "in" / "_SUCCESS").write_text("")
+    for block in (700, 4000, 1 << 20):
+        read = spark.read.format("window_lines").option("path", f"file://{tmp_path}/in").option("block", block).load()
+        assert sorted(r.record_id for r in read.select("record_id").collect()) == sorted(f"r{i}" for i in range(300))
+    assert read.rdd.getNumPartitions() == 2 and spark.read.format("window_lines").option("path", str(tmp_path / "in")).option("block", 1000).load().rdd.getNumPartitions() > 20
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    some = spark.read.format("window_lines").option("path", str(tmp_path / "in")).option("push", True).load().where("split = 'test' and cycle = 3")
+    assert some.count() == 150 and "= test" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_first_there_then_cache_then_built(spark, tmp_path):
+    local, cache, made = str(tmp_path / "local"), str(tmp_path / "cache"), []
+
+    def build(path):
+        made.append(path)
+        os.mkdir(path)
+        (tmp_path / "cache" / "x.json").write_text("\n".join([line(1), line(2, "test")]))
+
+    with pytest.raises(FileNotFoundError):
+        files.window_records(spark, [local, cache], ["sensor_4"])
+    assert files.window_records(spark, [local, cache], ["sensor_4"], build).count() == 2
+    assert files.window_records(spark, [local, cache], ["sensor_4"], build, "test").first()["record_id"] == "r2" and made == [cache]
+    os.mkdir(local)
+    (tmp_path / "local" / "x.json").write_text(line(9))
+    assert [r.record_id for r in files.window_records(spark, [local, cache], ["sensor_4"], build).collect()] == ["r9"]
+
+
+def test_enrichment_from_file_to_file(spark, tmp_path):
+    from kestrelflow.operators.enrich import enrich_file
+
+    source, target = tmp_path / "in.json", str(tmp_path / "out")
+    source.write_text("\n".join([line(1), "", line(2, "test"), line(60), line(3, rul=None)]))
+    channels = ("sensor_4", "sensor_11")
+    assert enrich_file(spark, str(source), target, channels) == 4
+    got = {r.record_id: r for r in spark.read.json(target).collect()}
+    assert (got["r1"].status, got["r60"].status, got["r2"].rul, got["r2"].withheld) == ("CRITICAL", "NORMAL", 22, True)
+    assert got["r2"].status == got["r3"].status == "CRITICAL" and "About" not in got["r2"].diagnostics.assessment and got["r1"].diagnostics.assessment.endswith("About 21 cycles remain.")
+    assert enrich_file(spark, str(source), target, channels, 2) == 1  # a blank line counts
+    source.write_text(line(1) + "\n{broken")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        enrich_file(spark, str(source), target, channels)
+    assert spark.read.json(target).count() == 1
+    with pytest.raises(ValueError):
+        enrich_file(spark, target, target, channels)
