@@ -10,8 +10,7 @@ documents, and every document's links are then looked up in these counts.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,64 +18,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelflow.llm.common import most_frequent, ragged, released, same_spans, shared, small_batches, span_hashes, steps, stored, utf8
-from kestrelflow.llm.tokens import byte_letters, character_classes, token_starts
+from kestrelflow.llm.tokens import Merges, token_starts
 
 #: Bytes of text that are encoded and aligned at a time; one longer text is held whole.
-STEP = 1 << 20
+STEP = 1 << 21
 #: Id pairs whose counts every task holds: the most frequent ones. The rest are joined.
 MOST_HELD = 1 << 20
-#: Pre-tokens that the library encodes in one call.
-CALL = 20_000
 
 
 class ByteLevel:
-    """Encoder of the tokenizers library that encodes each different pre-token of a step once."""
-
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
-        self.classes = character_classes()
-        byte = {c: b for b, c in byte_letters().items()}
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
+    """Encoder by a byte-level vocabulary: each different pre-token of a step is merged once, all of them side by side."""
 
-    def _library(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, how many each has, and whether their bytes are the word's."""
-        ids: list[int] = []
-        count, same = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        for a in range(0, len(words), CALL):
-            part = words[a : a + CALL]
-            for k, e in enumerate(self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), a):
-                own = e.ids
-                ids += own
-                count[k] = len(own)
-                same[k] = b"".join([self.bytes[i] for i in own]) == words[k]
-        return ids, count, same
+    def __init__(self, merges: Merges):
+        self.merges, self.bytes = merges, merges.bytes
+        self.length = np.array([len(b) for b in self.bytes], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, each text's first (and the end), and whether its ids' bytes are its own."""
+        """Ids of all texts, each text's first (and the end), and whether its ids' bytes are as many as its own."""
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        starts = lead[token_starts(chars, np.searchsorted(lead, offsets), self.classes)]
+        starts = lead[token_starts(chars, np.searchsorted(lead, offsets), self.merges.classes)]
         lengths = np.diff(np.append(starts, len(data)))
         _, where, back = np.unique(span_hashes(data, starts, lengths), return_index=True, return_inverse=True)
         other = np.flatnonzero(~same_spans(data, starts, lengths, data, starts[where][back], lengths[where][back]))
         back[other] = len(where) + np.arange(len(other))  # equal hashes, other bytes
         where = np.append(where, other)
-        whole = data.tobytes()
-        ids, count, same = self._library([whole[a : a + n] for a, n in zip(starts[where].tolist(), lengths[where].tolist(), strict=True)])
+        left: list = []
+        count = self.merges.symbols_left(data, starts[where], lengths[where], left)
+        row, ids = (np.concatenate(x) for x in zip(*left, strict=True))
+        ids = ids[np.argsort(row, kind="stable")]
         begin, sizes = np.cumsum(count) - count, count[back]
-        out = np.array(ids, np.int64)[ragged(begin[back], sizes)]
-        place = np.searchsorted(starts, offsets)
-        first = np.append(0, np.cumsum(sizes))[place]
-        good = np.append(0, np.cumsum(~same[back]))[place]
-        return out, first, np.diff(good) == 0
+        out = ids[ragged(begin[back], sizes)]
+        first = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
+        ends = np.append(0, np.cumsum(self.length[out]))[first]
+        return out, first, np.diff(ends) == np.diff(offsets)
 
 
 class Pieces:
@@ -97,7 +72,7 @@ class Pieces:
         lists = self.library.encode(texts, num_threads=1)
         good = [b"".join([self.bytes[i] for i in ids]) == w for ids, w in zip(lists, wanted, strict=True)]
         first = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
-        return np.fromiter((i for x in lists for i in x), np.int64, first[-1]), first, np.array(good, bool)
+        return np.fromiter(chain.from_iterable(lists), np.int64, first[-1]), first, np.array(good, bool)
 
 
 def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
@@ -133,12 +108,15 @@ def links_of(last_a: np.ndarray, last_b: np.ndarray, ends_a: np.ndarray, ends_b:
 
 
 class Aligner:
-    """Both encoders, and the strings that the group digest is made of."""
+    """Both encoders, and the decimal forms of ids that the group digest is made of."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
         most = max(len(a.bytes), len(b.bytes))
-        self.comma, self.bar, self.semi = (np.array([f"{i}{end}" for i in range(most)], object) for end in ",|;")
+        said = [f"{i}," for i in range(most)]
+        self.size = np.array([len(x) for x in said], np.int64)
+        self.wide = int(self.size.max())
+        self.digits = np.frombuffer("".join(x.ljust(self.wide) for x in said).encode(), np.uint8)
 
     def texts(self, texts: list[str | None]):
         """Arrays (n_a, n_b, n_groups, n_links), digests, and the different id pairs of each text with their counts."""
@@ -178,14 +156,18 @@ class Aligner:
 
         # Tokens of A of a group, then those of B, each with the mark behind it.
         size_a, size_b = np.diff(np.append(-1, last_a)), np.diff(np.append(-1, last_b))
-        out = np.empty(len(ids_a) + len(ids_b), object)
+        every, mark = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
         place_a = np.arange(len(ids_a)) + np.repeat(last_b + 1 - size_b, size_a)
         place_b = np.arange(len(ids_b)) + np.repeat(last_a + 1, size_b)
-        out[place_a], out[place_b] = self.comma[ids_a], self.comma[ids_b]
-        out[place_a[last_a]], out[place_b[last_b]] = self.bar[ids_a[last_a]], self.semi[ids_b[last_b]]
-        cut = (first_a + first_b).tolist()
+        every[place_a], every[place_b] = ids_a, ids_b
+        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
+        sizes = self.size[every]
+        ends = np.append(0, np.cumsum(sizes))
+        text = self.digits[ragged(every * self.wide, sizes)]
+        text[ends[1:] - 1] = mark
+        text, cut = text.tobytes(), ends[first_a + first_b].tolist()
         for k, r in enumerate(row.tolist()):
-            digests[r] = hashlib.sha256("".join(out[cut[k] : cut[k + 1]].tolist())[:-1].encode()).hexdigest()
+            digests[r] = hashlib.sha256(text[cut[k] : cut[k + 1] - 1]).hexdigest()
         return numbers, digests, np.append(0, np.cumsum(each)), pair % (len(self.a.bytes) * width), times
 
 
@@ -197,18 +179,13 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> tuple[DataFrame, i
 
     `pairs` are the text's different links as id_a * B's size + id_b in ascending order, `times` how often each occurs.
     """
-    with open(byte_level, encoding="utf-8") as f:
-        spec = f.read()
     with open(pieces, "rb") as f:
         model = f.read()
-    own = json.loads(spec)
-    if own["model"]["type"] != "BPE" or own["pre_tokenizer"]["type"] != "ByteLevel" or own["normalizer"] or own["pre_tokenizer"]["add_prefix_space"]:
-        raise ValueError(f"{byte_level} is not a byte-level BPE vocabulary without a normaliser or prefix space")
-    files = shared(docs.sparkSession, Files(spec, model))
+    files = shared(docs.sparkSession, Files(Merges(byte_level), model))
 
     def work(batches):
         held = files()
-        align = Aligner(ByteLevel(held.spec), Pieces(held.model))
+        align = Aligner(ByteLevel(held.merges), Pieces(held.model))
         for batch in batches:
             column = batch.column("text")
             _, offsets = utf8(column)
@@ -228,10 +205,10 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> tuple[DataFrame, i
 
 
 class Files:
-    """The two vocabulary files, for tasks."""
+    """The two vocabularies, for tasks."""
 
-    def __init__(self, spec: str, model: bytes):
-        self.spec, self.model = spec, model
+    def __init__(self, merges: Merges, model: bytes):
+        self.merges, self.model = merges, model
 
 
 #: Sorted numbers are stored as bit-packed differences.
@@ -259,8 +236,8 @@ class Held:
 def align_tokens(docs: DataFrame, byte_level: str, pieces: str, most_held: int = MOST_HELD) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of docs.
 
-    `byte_level` (tokenizers, .json) and `pieces` (sentencepiece, .model) are paths on the driver; the
-    files' contents are broadcast. A text is encoded as blank + text by A and as it is by B, which adds
+    `byte_level` (tokenizers, .json) and `pieces` (sentencepiece, .model) are paths on the driver; what
+    they hold is broadcast. A text is encoded as blank + text by A and as it is by B, which adds
     the blank itself; strings of special tokens are plain text. Rows whose text is null, empty, or
     not given back by the bytes of its tokens (as where B normalises it) have zeros and an empty
     digest. Repeated rows count each. doc_id may be null and of any type; other columns are ignored;

@@ -76,6 +76,10 @@ class Merges:
         self.order = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.order]
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        letter = {c: b for b, c in shown.items()}
+        self.bytes = [b""] * self.size
+        for token, i in vocab.items():
+            self.bytes[i] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.classes = character_classes()
 
@@ -84,8 +88,11 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], NONE)
 
-    def symbols_left(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """How many symbols remain of each byte string data[start : start + length] (none of them empty)."""
+    def symbols_left(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """How many symbols remain of each byte string data[start : start + length] (none of them empty).
+
+        `keep` gets pairs of arrays: the strings' numbers and the symbols that remain of them, in order within each string.
+        """
         row = np.repeat(np.arange(len(lengths)), lengths)
         first = np.append(0, np.cumsum(lengths))
         symbols = self.byte[data[np.arange(first[-1]) - first[:-1][row] + starts[row]]]
@@ -100,6 +107,9 @@ class Merges:
             best = np.minimum.reduceat(rank, begin)
             over = best == NONE
             left[row[begin[over]]] = sizes[over]
+            if keep is not None:
+                done = np.repeat(over, sizes)
+                keep.append((row[done], symbols[done]))
             lowest = np.repeat(best, sizes)
             hit = (rank == lowest) & (lowest != NONE)
             beside = hit[1:] & hit[:-1]
