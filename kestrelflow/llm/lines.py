@@ -133,7 +133,7 @@ def drop_boilerplate(
     """The pages with `text` without boilerplate lines, and columns n_lines and n_dropped.
 
     A line is boilerplate if at least `least_pages` pages of its host and more than `percent` percent
-    of them hold it. Lines end at line feeds and count as equal if all their bytes are; a page counts
+    of them hold it. Lines end at line feeds and count as equal if their 64-bit hashes are; a page counts
     once for a line however often it repeats it. Empty lines are never dropped and aren't counted.
     A null text stays null, a text whose lines all go is empty, a null host is a host of its own.
     All rows stay, repeated rows too; no rows give no rows. Columns named n_lines and n_dropped are
