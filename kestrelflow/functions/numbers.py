@@ -54,6 +54,11 @@ def is_sha256(text: Column) -> Column:
     return text.rlike(r"\A[0-9a-f]{64}\z")
 
 
+def decimal_log(x: Column) -> Column:
+    """The decimal logarithm: of zero minus infinity, of a negative number NaN; null for null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log10(x))
+
+
 def dot(a: Column, b: Column, bias: float | Column = 0.0) -> Column:
     """Inner product of two arrays plus a bias."""
     start = bias if isinstance(bias, Column) else F.lit(float(bias))
