@@ -4,11 +4,14 @@ A unit vector is coded as a sum of one codeword from each of several codebooks.
 full-dimensional and learnt on what the ones before it leave over; a beam of partial sums is kept
 while coding. A query's inner products with all codewords are a lookup table, so a coded vector's
 score is a few lookups and a division by its stored norm. The best by that score are ranked again by
-the cosine of the original vectors, in double precision.
+the cosine of the original vectors, in double precision, and so is every other vector whose cosine may
+still reach theirs: a code and the cosine of a vector with its code bound the vector's cosine with any
+query. So codes lose no neighbour, however alike the vectors are.
 
 Vectors lie in cells around coarse centroids, and a query looks into its nearest cells only. How many
 is measured on the learnt vectors: so many that nearly all of their true neighbours lie in them, so
-data without clusters are searched nearly whole and recall holds. Queries and vectors of a cell meet
+data without clusters are searched nearly whole and recall holds. It is measured for the queries'
+neighbours too, as queries may be spread otherwise than other rows. Queries and vectors of a cell meet
 in blocks: each block gives each query its best few, and the best of these over all blocks are the
 result. Equal vectors are coded once, under their smallest ids.
 """
@@ -82,15 +85,26 @@ class Codebooks:
         square = error[np.arange(n), pick] + 2 * dot  # |sum|^2 = error - |x|^2 + 2 x.sum, and error leaves out |x|^2
         return codes.astype(np.uint8), np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)
 
+    def aligned(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The cosine of each unit vector with its coded sum."""
+        total = sum(self.words[m].take(codes[:, m], axis=0) for m in range(codes.shape[1])).astype(float)
+        return ((x * total).sum(1) / np.maximum(np.sqrt((total * total).sum(1)), 1e-12)).astype(np.float32)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query with all codewords: (query, book * words)."""
         return queries.astype(np.float32) @ self.words.reshape(-1, self.words.shape[2]).T
 
 
+def reach(near: np.ndarray, aligned: np.ndarray) -> np.ndarray:
+    """The most that a query's cosine with a vector can be, from those of the vector's code with the query and the vector; with room for rounding."""
+    near, aligned = np.clip(near, -1, 1), np.clip(aligned, -1, 1)
+    return near * aligned + np.sqrt((1 - near * near + 1e-5) * (1 - aligned * aligned + 1e-5)) + 1e-5
+
+
 class Cells:
     """Coarse centroids of unit vectors, and how many cells a query looks into."""
 
-    def __init__(self, learnt: np.ndarray, cells: int, k: int, covered: float = COVERED, asked: int = 512, rounds: int = 8, seed: int = 2):
+    def __init__(self, learnt: np.ndarray, cells: int, k: int, covered: float = COVERED, asked: int = 512, rounds: int = 8, seed: int = 2, *, queries: np.ndarray | None = None):
         x = learnt.astype(np.float32)
         cells = max(1, min(cells, len(x) // 4))
         self.centre = x[np.random.default_rng(seed).choice(len(x), cells, replace=False)].copy() if len(x) else np.zeros((1, x.shape[1]), np.float32)
@@ -99,14 +113,16 @@ class Cells:
             for c in range(cells):
                 if (near == c).any():
                     self.centre[c] = x[near == c].mean(0)
-        self.probes = len(self.centre)
+        self.probes = 1
         if cells > 1:
-            own, some = Codebooks._nearest(x, self.centre), x[:asked]
-            like = some @ x.T
-            like[np.arange(len(some)), np.arange(len(some))] = -np.inf
-            true = own[np.argpartition(-like, k - 1, axis=1)[:, :k]]  # the cells of the true neighbours
-            place = np.argsort(self.order(some, cells), axis=1)
-            self.probes = int(np.quantile(np.take_along_axis(place, true, 1), covered, method="higher")) + 1
+            own = Codebooks._nearest(x, self.centre)
+            for some in (x[:asked], *([] if queries is None else [queries.astype(np.float32)[:asked]])):
+                like = some @ x.T
+                like[like > 1 - 1e-6] = -np.inf  # itself; without its near copies the others are farther, which only adds cells
+                true = own[np.argpartition(-like, k - 1, axis=1)[:, :k]]  # the cells of the true neighbours
+                place = np.argsort(self.order(some, cells), axis=1)
+                if len(some):
+                    self.probes = max(self.probes, int(np.quantile(np.take_along_axis(place, true, 1), covered, method="higher")) + 1)
 
     def of(self, unit: np.ndarray) -> np.ndarray:
         return Codebooks._nearest(unit.astype(np.float32), self.centre)
@@ -125,7 +141,12 @@ def usable(vector: Column, dimension: int) -> Column:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings them near one, which leaves cosines as they are and lets no square overflow or vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -158,7 +179,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
     learnt = single.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h", "embedding").limit(MOST_LEARNT).select("embedding").toArrow()
     x = _unit(_matrix(learnt.column("embedding"))) if learnt.num_rows else np.zeros((0, max(1, top["length"])))
     books = shared(spark, Codebooks(x))
-    cells = shared(spark, Cells(x, min(MOST_CELLS, -(-single.count() // cell)), k))
+    asked = usual.where(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    some = asked.select("query", F.xxhash64("query", "query_id").alias("h")).orderBy("h").limit(512).select("query").toArrow()
+    own = _unit(_matrix(some.column("query"))) if some.num_rows else None
+    cells = shared(spark, Cells(x, min(MOST_CELLS, -(-single.count() // cell)), k, queries=own))
 
     def coded(batches):
         own, around = books(), cells()
@@ -166,9 +190,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
             for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
                 unit = _unit(_matrix(piece.column("embedding")))
                 codes, norms = own.encode(unit)
+                aligned = own.aligned(unit, codes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(around.of(unit), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), piece.column("embedding"), piece.column("ids")],
-                    ["cell", "code", "norm", "embedding", "ids"],
+                    [pa.array(around.of(unit), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(aligned), piece.column("embedding"), piece.column("ids")],
+                    ["cell", "code", "norm", "aligned", "embedding", "ids"],
                 )
 
     def probing(batches):
@@ -178,8 +203,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
             at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("query_id", "query")), pa.array(near.ravel(), pa.int32())], ["query_id", "query", "cell"])
 
-    index = stored(single.mapInArrow(coded, f"cell int, code binary, norm float, embedding {kind}, ids array<long>"), "ann-index")
-    asked = usual.where(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = stored(single.mapInArrow(coded, f"cell int, code binary, norm float, aligned float, embedding {kind}, ids array<long>"), "ann-index")
     asked = stored(asked.mapInArrow(probing, f"query_id long, query {kind}, cell int"), "ann-queries")
     # A cell of many vectors is several blocks, and its many queries several groups; a row for each cell.
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -189,7 +213,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
     index = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     asked = asked.join(plan, "cell").withColumn("group", F.pmod(F.xxhash64("query_id", "query"), "groups").cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    index, asked = index.select("cell", "block", "group", "code", "norm", "embedding", "ids"), asked.select("cell", "block", "group", "query_id", "query")
+    index, asked = index.select("cell", "block", "group", "code", "norm", "aligned", "embedding", "ids"), asked.select("cell", "block", "group", "query_id", "query")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict = {"query_id": [], "vec_id": [], "score": []}
@@ -200,24 +224,31 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, again: int = AGAIN,
             norms, whole = left.column("norm").to_numpy(), _matrix(left.column("embedding"))
             lengths, ids = np.sqrt((whole * whole).sum(1)), left.column("ids").to_pylist()
             smallest = np.array([i[0] for i in ids])
+            aligned = left.column("aligned").to_numpy()
             asking, qid = _matrix(right.column("query")), right.column("query_id").to_pylist()
-            tables = own.tables(asking)
+            unit, unit_asking = _unit(whole).astype(np.float32), _unit(asking).astype(np.float32)
+            tables = own.tables(unit_asking)
             for r, table in enumerate(tables):
                 near = table[codes].sum(1) / norms
-                if len(near) > again:
-                    pick = np.argpartition(-near, again - 1)[:again]
-                else:
-                    pick = np.arange(len(near))
-                q = asking[r]
-                exact = (whole[pick] * q).sum(1) / (lengths[pick] * np.sqrt((q * q).sum()))
-                order = np.lexsort((smallest[pick], -exact))
-                best: list = []
-                for o in order:
-                    if len(best) >= k and exact[o] < best[k - 1][0]:
-                        break
-                    best += [(exact[o], i) for i in ids[pick[o]] if i != qid[r]]
-                    best.sort(key=lambda e: (-e[0], e[1]))
-                    del best[k:]
+                q, best, ranked = asking[r], [], np.zeros(len(near), bool)
+                pick = np.argpartition(-near, again - 1)[:again] if len(near) > again else np.arange(len(near))
+                while len(pick):
+                    exact = (whole[pick] * q).sum(1) / (lengths[pick] * np.sqrt((q * q).sum()))
+                    for o in np.lexsort((smallest[pick], -exact)):
+                        if len(best) >= k and (-exact[o], smallest[pick[o]]) > (-best[k - 1][0], best[k - 1][1]):
+                            break
+                        best += [(exact[o], i) for i in ids[pick[o]] if i != qid[r]]
+                        best.sort(key=lambda e: (-e[0], e[1]))
+                        del best[k:]
+                    ranked[pick] = True
+                    if len(best) < k:
+                        pick = np.flatnonzero(~ranked)
+                        continue
+                    # What isn't ranked yet and may be as near as the last of the best, by its code and then by a short product.
+                    more = np.flatnonzero(~ranked & (reach(near, aligned) >= best[k - 1][0]))
+                    ranked[more] = True
+                    short = unit[more] @ unit_asking[r] if 4 * len(more) < len(unit) else (unit @ unit_asking[r])[more]
+                    pick = more[short >= best[k - 1][0] - 1e-4]
                 for value, i in best:
                     found["query_id"].append(qid[r])
                     found["vec_id"].append(i)

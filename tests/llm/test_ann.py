@@ -69,6 +69,37 @@ def test_recall_over_many_cells(spark, clusters):
     assert len(cells.centre) == 30 and (cells.probes < 15 if clusters > 1 else cells.probes > 3)
 
 
+@pytest.mark.parametrize("shape", ["near copies", "many dimensions"])
+def test_codes_lose_no_neighbour(spark, shape):
+    """Vectors that codes can't tell apart, at the settings of the query."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16 if shape == "near copies" else 256))
+    if shape == "near copies":
+        x[1500:] = x[0] + 1e-3 * x[1500:]
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = found(ann.nearest(frame, F.col("vec_id") % 100 == 0, k=5))
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for n in range(0, len(x), 100):
+        near = unit @ unit[n]
+        near[n] = -2
+        assert set(np.argsort(-near)[:5].tolist()) == {v for v, _ in got[n]}
+
+
+def test_cells_are_wide_enough_for_queries_unlike_other_rows():
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 32))
+    x = middle[rng.integers(0, 40, 4000)] + 0.01 * rng.normal(size=(4000, 32))
+    x, asked = (y / np.linalg.norm(y, axis=1, keepdims=True) for y in (x, rng.normal(size=(200, 32))))
+    assert ann.Cells(x, 40, 5, queries=asked).probes > ann.Cells(x, 40, 5).probes
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1.1e-200]), (3, [1.0, -1.0]), (4, [3e-200, 0.0])]
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1))
+    assert [i for i, _ in got[1]] == [2, 4, 3] and abs(got[1][1][1] - math.sqrt(0.5)) < 1e-12
+
+
 def test_blocks_ties_and_odd_rows(spark, monkeypatch):
     rng = random.Random(2)
     same = [rng.uniform(-1, 1) for _ in range(8)]
