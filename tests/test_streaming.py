@@ -203,3 +203,26 @@ def test_text_files_as_they_appear(spark, own, tmp_path):
     out = streaming.run_to_files(strict.strict_lines(strict.text_stream(own, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "s"), spark, by="broken")
     assert sorted((r.line, r.rule) for r in out.where("broken").collect()) == [(2, "sequence"), (2, "sequence"), (3, "width"), (3, "width")]
     assert out.where("not broken").count() == 2
+
+
+def test_rows_in_order_ask_no_map_of_waiting_rows():
+    """What a batch costs: a few questions to the state store for a unit, however many rows it has."""
+    asked = []
+
+    class State:
+        def __getattr__(self, name):
+            def call(*_):
+                asked.append(name)
+                return name == "containsKey" and pytest.fail("asked for a row") or False
+
+            return call
+
+    class Handle:
+        getValueState = getListState = getMapState = lambda self, *_: State()
+
+    buffer = streaming.WindowBuffer(["a"], 3, 2)
+    buffer.init(Handle())
+    rows = pd.DataFrame({"unit": 5, "cycle": range(1, 1001), "a": [float(i) for i in range(1, 1001)], "ended": [False] * 999 + [True]})
+    (out,) = buffer.handleInputRows((5,), iter([rows]), None)
+    assert out["cycle"].tolist() == [*range(3, 1000, 2), 1000] and [list(x) for x in out["a"].tail(2)] == [[997.0, 998.0, 999.0], [998.0, 999.0, 1000.0]]
+    assert len(asked) < 10
