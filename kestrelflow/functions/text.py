@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kestrelflow.functions.batches import small_batches
 from kestrelflow.functions.numbers import significant, signed
 
 #: Wording by band; {n} is the horizon in cycles.
@@ -124,6 +127,10 @@ def word_ids(text: Column, first: int = 10, size: int = 1 << 30) -> Column:
     return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(size)) + first).cast("int"))
 
 
+#: Rows whose ids a task holds at a time.
+PIECE = 64
+
+
 class Tokenizer(Protocol):
     """What a tokenizer has to offer: ids of a text without special tokens, and the ids that begin, end and pad."""
 
@@ -156,10 +163,21 @@ def token_ids(make: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
 
 
 def tokenized(rows: DataFrame, make: Callable[[], Tokenizer], prompt: str, response: str, length: int) -> DataFrame:
-    """The rows with `tokens`, as masked_tokens() has them, by a tokenizer's own ids; `prompt` and `response` are columns of text."""
+    """The rows with `tokens`, as masked_tokens() has them, by a tokenizer's own ids; `prompt` and `response` are columns of text.
+
+    A task holds the ids of PIECE rows at a time, whatever the table's size.
+    """
     own = make()
-    ids = token_ids(make)
-    listed = rows.withColumns({"_prompt": ids(F.col(prompt)), "_response": ids(F.col(response))})
+
+    def encode(batches):
+        each = [(c, make()) for c in (prompt, response)]
+        for batch in batches:
+            for piece in (batch.slice(i, PIECE) for i in range(0, batch.num_rows, PIECE)):
+                ids = [pa.array([None if t is None else tokenizer.encode(t) for t in piece.column(c).to_pylist()], pa.list_(pa.int32())) for c, tokenizer in each]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *ids], [*piece.schema.names, "_prompt", "_response"])
+
+    kept = T.StructType([*rows.schema, T.StructField("_prompt", T.ArrayType(T.IntegerType())), T.StructField("_response", T.ArrayType(T.IntegerType()))])
+    listed = small_batches(rows).mapInArrow(encode, kept)
     whole = masked_tokens(F.col("_prompt"), F.col("_response"), length, own.begin_id, own.end_id, padding=own.padding_id)
     return listed.withColumn("tokens", whole).drop("_prompt", "_response")
 

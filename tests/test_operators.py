@@ -253,6 +253,22 @@ def test_text(spark):
         assert value(spark, T.question_route(F.lit(prompt), F.lit(said))) == wanted
 
 
+def test_a_task_holds_few_rows_ids_at_a_time(spark):
+    class Held:
+        """Says how many MB its worker holds."""
+
+        begin_id, end_id, padding_id = 1, 2, 0
+
+        def encode(self, text):
+            with open("/proc/self/statm") as f:
+                return [int(f.read().split()[1]) // 256, *([7000] * len(text))]
+
+    own = spark.range(4000).select(F.expr("repeat('a', 8000)").alias("p"), F.lit("x").alias("r")).coalesce(1)
+    before, most = own.limit(1), own
+    held = [T.tokenized(rows, Held, "p", "r", 9000).agg(F.max(F.element_at("tokens.input_ids", 2))).first()[0] for rows in (before, most)]
+    assert held[1] - held[0] < 150, held
+
+
 def test_embedders_once_a_task(spark):
     class Doubled:
         width = 2
