@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import arrow_rows, settled
+from kestrelflow.llm.common import arrow_rows, settled, shared_dir
 
 #: Slices of a source that rank their documents apart from one another.
 SLICES = 1024
@@ -33,51 +34,94 @@ MOST_BLOCKS = 4_000_000
 MOST_SOURCES = 1 << 20
 #: Ranges of virtual time that are ranked apart, and blocks that are made by one row of a source.
 RANGES, CHUNK = 512, 4096
+#: Slots that the driver fills at a time.
+STEP = 1 << 20
 
 
 def _key(source: str | None) -> str:
     return "" if source is None else f"s{source}"
 
 
-def block_windows(blocks: Sequence[int], weights: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First slots and deadlines of all blocks, source by source, each source's blocks in order; in whole numbers throughout."""
-    n, w = np.array(blocks, np.int64), np.array(weights, np.int64)
-    large = int(w.max(initial=1)) * int(n.max(initial=1)) * max(1, len(n)) >= 1 << 60
-    kind = object if large else np.int64
-    ends = np.argsort(n / w, kind="stable")
-    # While the first k sources to end are over, t(v) = done[k] + share[k] * v; t is the least of these lines.
-    done = np.append(0, np.cumsum(n[ends].astype(kind)))
-    share = np.append(np.cumsum(w[ends][::-1].astype(kind))[::-1], 0)
-    source = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
-    own = w[source].astype(kind)
-
-    def flown(i: np.ndarray, up: int) -> np.ndarray:
+class Flow:
+    """The ideal flow of sources of so many blocks and these weights; in whole numbers throughout."""
+
+    def __init__(self, blocks: Sequence[int], weights: Sequence[int]):
+        self.n, self.w = np.array(blocks, np.int64), np.array(weights, np.int64)
+        large = int(self.w.max(initial=1)) * int(self.n.max(initial=1)) * max(1, len(self.n)) >= 1 << 60
+        self.kind = object if large else np.int64
+        ends = np.argsort(self.n / self.w, kind="stable")
+        # While the first k sources to end are over, t(v) = done[k] + share[k] * v; t is the least of these lines.
+        self.done = np.append(0, np.cumsum(self.n[ends].astype(self.kind)))
+        self.share = np.append(np.cumsum(self.w[ends][::-1].astype(self.kind))[::-1], 0)
+        self.ended = (self.n / self.w)[ends]
+
+    def flown(self, source: np.ndarray, i: np.ndarray, up: int) -> np.ndarray:
         """t(i / w) of each block's source, rounded down, or up."""
-        k = np.searchsorted((n / w)[ends], i / w[source])
-        near = np.clip(k[None, :] + np.arange(-2, 3)[:, None], 0, len(n))  # as the search is in floats
-        scaled = (done[near] * own + share[near] * i.astype(kind)).min(axis=0)
+        k = np.searchsorted(self.ended, i / self.w[source])
+        near = np.clip(k[None, :] + np.arange(-2, 3)[:, None], 0, len(self.n))  # as the search is in floats
+        own = self.w[source].astype(self.kind)
+        scaled = (self.done[near] * own + self.share[near] * i.astype(self.kind)).min(axis=0)
         return ((scaled + up * (own - 1)) // own).astype(np.int64)
 
-    return flown(at, 0), flown(at + 1, 1)
+    def released(self, slot: int) -> np.ndarray:
+        """How many blocks of each source have windows that begin before a slot."""
+        source, low, high = np.arange(len(self.n)), np.zeros_like(self.n), self.n.copy()
+        while (low < high).any():
+            middle = (low + high) // 2
+            before = (self.flown(source, middle, 0) < slot) & (low < high)
+            low, high = np.where(before, middle + 1, low), np.where(before | (low >= high), high, middle)
+        return low
+
+
+def schedule_parts(blocks: Sequence[int], weights: Sequence[int], step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(source, number of the block in it) of all slots in order, `step` slots at a time, by earliest deadline first.
+
+    Holds the sources and the windows that begin in a step, however many blocks there are.
+    """
+    flow = Flow(blocks, weights)
+    total, first = int(flow.n.sum()), np.cumsum(flow.n) - flow.n
+    ready, next_block = [], np.zeros_like(flow.n)
+    for begin in range(0, total, step):
+        end = min(begin + step, total)
+        upto = flow.released(end)
+        count = upto - next_block
+        source = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count) + next_block[source]
+        release, deadline, next_block = flow.flown(source, at, 0), flow.flown(source, at + 1, 1), upto
+        order = np.argsort(release, kind="stable")
+        waiting, due, ids = release[order].tolist(), deadline[order].tolist(), (first[source] + at)[order].tolist()
+        filled, j = [], 0
+        for t in range(begin, end):
+            while j < len(waiting) and waiting[j] <= t:
+                heapq.heappush(ready, (due[j], ids[j]))
+                j += 1
+            deadline, block = heapq.heappop(ready)
+            if deadline <= t:
+                raise AssertionError("a deadline was missed")
+            filled.append(block)
+        filled = np.array(filled, np.int64)
+        own = np.searchsorted(first + flow.n, filled, "right")
+        yield own, filled - first[own]
 
 
 def schedule(blocks: Sequence[int], weights: Sequence[int]) -> np.ndarray:
     """The slot of each block, source by source, by earliest deadline first."""
-    release, deadline = block_windows(blocks, weights)
-    total = len(release)
-    order = np.argsort(release, kind="stable")
-    waiting, keys = release[order].tolist(), (deadline * total + np.arange(total))[order].tolist()
-    slots, ready, j = [0] * total, [], 0
-    for t in range(total):
-        while j < total and waiting[j] <= t:
-            heapq.heappush(ready, keys[j])
-            j += 1
-        first = heapq.heappop(ready)
-        if first // total <= t:
-            raise AssertionError("a deadline was missed")
-        slots[first % total] = t
-    return np.array(slots, np.int32)
+    n = np.array(blocks, np.int64)
+    slots, first, begin = np.zeros(n.sum(), np.int32), np.cumsum(n) - n, 0
+    for source, block in schedule_parts(blocks, weights):
+        slots[first[source] + block] = np.arange(begin, begin + len(source))
+        begin += len(source)
+    return slots
+
+
+def planned_slots(spark: SparkSession, keys: Sequence[str], blocks: Sequence[int], weights: Sequence[int], step: int = STEP) -> DataFrame:
+    """(_key, _block, slot) of all blocks, as a Parquet table in the shared folder that is written step by step."""
+    path, begin, names = f"{shared_dir(spark).rstrip('/')}/mix-slots-{uuid.uuid4().hex}", 0, pa.array(keys, pa.string())
+    for source, block in schedule_parts(blocks, weights, step):
+        part = pa.table({"_key": names.take(pa.array(source)), "_block": pa.array(block), "slot": pa.array(np.arange(begin, begin + len(source)))})
+        spark.createDataFrame(part).write.mode("append").parquet(path)
+        begin += len(source)
+    return spark.read.schema("_key string, _block long, slot long").parquet(path)
 
 
 def tempered_weights(counts: Mapping[str | None, int], power: float = 0.5, units: int = 1000) -> dict:
@@ -128,7 +172,7 @@ def virtual_slots(counted: DataFrame, weights: Mapping[str | None, int] | None,
     return blocks.withColumn("_nth", rank).join(F.broadcast(offsets), "_range").select("_key", "_block", (F.col("_from") + F.col("_nth")).cast("long").alias("slot"))
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block: int = 16, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block: int = 16, seed: int = 7, bounded: bool = True) -> DataFrame:
     """The rows of docs with slot, place and position; in order of position they follow the weights.
 
     `weights` are whole numbers per source (1 for a source that isn't in it); by default they go with
@@ -144,21 +188,29 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, int] | None = None
     more than MOST_SOURCES sources there is no schedule: these are held to their weights (the square
     roots themselves) by virtual time, and a source of share p is within one block and p times a small
     sum over all sources of its target.
+
+    Without `bounded` one rule holds at every size: blocks keep `block` rows and all sources are on the
+    schedule. The driver then holds a count for each source and fills the slots step by step into the
+    shared folder, where a table of more than STEP blocks finds them by a join.
     """
     if weights is not None and any(w < 1 or w != int(w) for w in weights.values()):
         raise ValueError("weights are whole numbers of 1 or more")
     spark = docs.sparkSession
     docs = docs.drop("slot", "place", "position")
     counted = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"))
-    some = counted.limit(MOST_SOURCES + 1).collect()
-    planned = None
-    if len(some) <= MOST_SOURCES:
+    some = counted.limit(MOST_SOURCES + 1).collect() if bounded else counted.toArrow().to_pylist()
+    planned = stepwise = None
+    if not bounded or len(some) <= MOST_SOURCES:
         counts = {r["source"]: r["n"] for r in sorted(some, key=lambda r: _key(r["source"]))}
-        block = max(block, -(-sum(counts.values()) // MOST_BLOCKS))
+        block = max(block, -(-sum(counts.values()) // MOST_BLOCKS)) if bounded else block
         chosen = tempered_weights(counts) if weights is None else {s: weights.get(s, 1) for s in counts}
         blocks = [-(-n // block) for n in counts.values()]
-        slots = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(blocks)), pa.int32()), pa.array(schedule(blocks, list(chosen.values()))))
-        planned = F.broadcast(spark.createDataFrame(pa.table({"_key": pa.array(map(_key, counts), pa.string()), "_slots": slots})))
+        keys = list(map(_key, counts))
+        if not bounded and sum(blocks) > STEP:
+            stepwise = planned_slots(spark, keys, blocks, list(chosen.values()), STEP)
+        else:
+            slots = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(blocks)), pa.int32()), pa.array(schedule(blocks, list(chosen.values()))))
+            planned = F.broadcast(spark.createDataFrame(pa.table({"_key": pa.array(keys, pa.string()), "_slots": slots})))
 
     order = row_hash(docs, seed)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))  # as _key(), never null
@@ -175,7 +227,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, int] | None = None
     rows = rows.withColumn("_block", F.floor(rank / block).cast("long")).withColumn("place", (rank % block).cast("int"))
     position = (F.col("slot") * block + F.col("place")).alias("position")
     if planned is None:
-        rows = rows.join(virtual_slots(counted, weights, block), ["_key", "_block"])
+        rows = rows.join(virtual_slots(counted, weights, block) if stepwise is None else stepwise, ["_key", "_block"])
     else:
         rows = rows.join(planned, "_key").withColumn("slot", F.get("_slots", F.col("_block").cast("int")).cast("long"))
     return rows.select("_row.*", "slot", "place", position)

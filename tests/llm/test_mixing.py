@@ -173,3 +173,27 @@ def test_given_weights_by_virtual_time(spark, monkeypatch):
     assert len({r.position for r in got}) == 999 and sorted({r.slot for r in got}) == list(range(3 * 84))
     head = Counter(r.source for r in got if r.slot < 13 * 8)
     assert all(abs(head[s] - w * 8 * 4) <= 8 for s, w in (("s0", 8), ("s1", 4), ("s2", 1)))
+
+
+def test_steps_fill_the_same_slots():
+    rng = np.random.default_rng(5)
+    for many in (1, 3, 40):
+        blocks, weights = rng.integers(1, 90, many).tolist(), rng.integers(1, 30, many).tolist()
+        for step in (1, 7, 1000):
+            parts = list(mixing.schedule_parts(blocks, weights, step))
+            got = [pair for s, b in parts for pair in zip(s.tolist(), b.tolist(), strict=True)]
+            first = np.cumsum(blocks) - blocks
+            slots = schedule(blocks, weights)
+            assert [int(slots[first[s] + b]) for s, b in got] == list(range(sum(blocks)))
+
+
+def test_one_rule_at_every_size(spark, monkeypatch):
+    """Without bounds neither many blocks nor many sources change where a row goes."""
+    frame = spark.range(3000).selectExpr("id as doc_id", "concat('s', pmod(id * id, 7)) as source")
+    wanted = {r.doc_id: (r.position, r.place) for r in mix_sources(frame, block=4).collect()}
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    for step in (mixing.STEP, 100):
+        monkeypatch.setattr(mixing, "STEP", step)
+        assert {r.doc_id: (r.position, r.place) for r in mix_sources(frame, block=4, bounded=False).collect()} == wanted
+    assert mix_sources(frame.limit(0), bounded=False).count() == 0
