@@ -56,7 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its position in the mix; sources weigh as the square roots of their sizes."""
-    return mix_sources(docs)
+    return mix_sources(docs, bounded=False)
 
 
 STAGES = [
