@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import lookup, settled
+from kestrelflow.llm.common import lookup, packed, settled
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,21 +19,24 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = settled(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    total = 2 * edges.count()
+    edges = packed(edges, total)
     while not _stars(edges):
-        total = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("members")))
+        least = packed(settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("members"))), total)
         large = lookup(both.where("v > u"), least, "u", "members", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")  # repeated links do no harm here
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")))
+        least = packed(settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members"))), total)
         hung = lookup(large, least, "u", "members", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settled(hung.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = packed(settled(hung.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()), total)
+        total = 2 * edges.count()
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node hangs on one smaller node, or has only larger ones hanging on it: then those are the components."""
-    down = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    centres = edges.select(F.col("v").alias("u"), F.lit(True).alias("centre")).distinct()
-    return down.join(centres, "u", "left").where("lo <> hi or centre").isEmpty()
+    ends = edges.select("u", "v", F.lit(False).alias("centre"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("centre")))
+    nodes = ends.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("centre").alias("centre"))
+    return nodes.where("lo <> hi or centre and lo is not null").isEmpty()

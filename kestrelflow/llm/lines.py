@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelflow.llm.common import WordHasher, arrow_rows, released, settled, steps, stored, utf8
-from kestrelflow.llm.neardup import near_duplicates
+from kestrelflow.llm.common import WordHasher, arrow_rows, packed, released, settled, steps, stored, utf8
+from kestrelflow.llm.neardup import WIDE, near_duplicates
 
 
 def _not_line() -> np.ndarray:
@@ -120,6 +120,7 @@ def boilerplate_of_groups(pages: DataFrame, percent: int, least: int, near: tupl
     texts = held.groupBy("page").agg(F.first("text").alias("text")).select(F.col("page").alias("doc_id"), "text")
     groups = near_duplicates(texts, *near).select(F.col("doc_id").alias("page"), F.col("component_id").alias("group"))
     grouped = settled(held.select("host", "page", "lines").distinct().join(groups, "page"))
+    grouped = packed(grouped, held.count(), WIDE)
     released(pages.sparkSession, held)
     fewer = grouped.groupBy(F.col("host").alias("in")).agg((F.count_distinct("page") - F.count_distinct("group")).alias("fewer"))
     totals = totals.join(fewer, F.col("of").eqNullSafe(F.col("in")), "left").select("of", (F.col("total") - F.coalesce("fewer", F.lit(0))).alias("total"))

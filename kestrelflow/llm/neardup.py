@@ -28,6 +28,7 @@ from kestrelflow.llm.common import (
     lookup,
     mix,
     odd_numbers,
+    packed,
     released,
     sequences,
     settled,
@@ -38,6 +39,8 @@ from kestrelflow.llm.common import (
 from kestrelflow.llm.components import connected_components
 
 BITS = 2
+#: A row with its bands and signature is as wide as so many rows of a few numbers.
+WIDE = 8
 #: Minima in the finer signatures of the second pass, which only documents of mixed buckets get.
 FINER = 1280
 
@@ -160,6 +163,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     spark = docs.sparkSession
     released(spark)
     signed = settled(signatures(docs, shingle, bands, rows))
+    every = signed.count()
+    signed = packed(signed, every, WIDE)
     full = signed.where("n > 0 and doc_id is not null")
     ratio, least = percent / 100, least_estimate(percent / 100, bands * rows)
 
@@ -168,12 +173,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     one = settled(
         full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     )
-    repeated = _ids_of_several_sets(signed, one, sets)
+    one = packed(one, every, WIDE)
+    repeated = _ids_of_several_sets(signed, one, sets, every)
     reps = one.select("rep", "n", "bands", "sig")
 
     members = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
     buckets = members.groupBy("key").agg(F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"))
     shared = settled(members.join(buckets.where("members > 1"), "key").select("key", "rep", "pivot"))
+    most = shared.count()  # a bound of the rows of all that is made of them, up to the last pass
+    shared = packed(shared, most)
     traits = reps.select("rep", "n", "sig")
     texts = stored(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-texts")
 
@@ -184,8 +192,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     near = (F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")) & (
         estimated(F.col("sig_a"), F.col("sig_b"), bands * rows) >= least
     )
-    tried = settled(tried.where(near).select("a", "b"))
-    links = settled(confirmed(tried, texts, shingle, percent))
+    tried = packed(settled(tried.where(near).select("a", "b")), most)
+    links = packed(settled(confirmed(tried, texts, shingle, percent)), most)
 
     # Where a member isn't linked to the pivot, the bucket meets its best linked member.
     unsettled = paired.join(links, ["a", "b"], "left_anti").select("key").distinct()
@@ -194,51 +202,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     open_rows = open_rows.repartition("key")
     hubs = open_rows.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("hub"))
     second = open_rows.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    second = settled(second.distinct().join(tried, ["a", "b"], "left_anti"))
-    links = settled(links.unionByName(confirmed(second, texts, shingle, percent)))
+    second = packed(settled(second.distinct().join(tried, ["a", "b"], "left_anti")), most)
+    links = links.unionByName(packed(settled(confirmed(second, texts, shingle, percent)), most))
     tried = tried.unionByName(second)
 
     # What is left: members of one bucket in different components.
     released(spark)
-    known = settled(connected_components(links.unionByName(repeated)))
-    open_rows = settled(_mixed(shared, known))
+    known = packed(settled(connected_components(links.unionByName(repeated))), most + every)
+    open_rows = packed(settled(_mixed(shared, known)), most)
     open_texts = stored(texts.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "neardup-open")
     lone = _lone_shingles(open_texts, shingle).withColumnRenamed("doc_id", "rep")
     finer = signatures(open_texts, shingle, 1, FINER).select(F.col("doc_id").alias("rep"), F.col("sig").alias("fine"), "n")
     room = reps.join(finer, ["rep", "n"]).join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     open_rows = open_rows.join(room, "rep").where(F.col("n") - F.col("lone") >= ratio * F.col("n"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    most = F.least(F.expr("x.n - x.lone"), F.expr("y.n - y.lone"))
+    both = F.least(F.expr("x.n - x.lone"), F.expr("y.n - y.lone"))
     rest = x.join(
         y,
         F.expr("x.key = y.key and x.rep < y.rep and x.label <> y.label")
-        & (100 * most >= percent * (F.expr("x.n + y.n") - most))
+        & (100 * both >= percent * (F.expr("x.n + y.n") - both))
         & (estimated(F.col("x.sig"), F.col("y.sig"), bands * rows) >= least)
         & (estimated(F.col("x.fine"), F.col("y.fine"), FINER) >= least_estimate(percent / 100, FINER))
         & F.expr("x.key = array_intersect(x.bands, y.bands)[0]"),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     rest = settled(confirmed(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
+    last = rest.count()
 
     components = known
-    if not rest.isEmpty():
-        stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if last:
+        rest, stars = packed(rest, last), known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         components = connected_components(stars.unionByName(rest))
     label = F.coalesce("component", "rep").alias("component_id")
     of_sets = settled(one.select(*sets, "rep", "copies").join(components, F.col("rep") == F.col("node"), "left").select(*sets, "copies", label))
+    of_sets = packed(of_sets, every)
     released(spark, texts, open_texts)  # not before, as stages that Spark has left unfinished may still read them
-    out = lookup(full.select("doc_id", *sets), of_sets, sets, "copies", full.count())
+    out = lookup(full.select("doc_id", *sets), of_sets, sets, "copies", every)
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0 or doc_id is null").join(components, F.col("doc_id") == F.col("node"), "left")
     return out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 
-def _ids_of_several_sets(signed: DataFrame, one: DataFrame, sets: list[str]) -> DataFrame:
+def _ids_of_several_sets(signed: DataFrame, one: DataFrame, sets: list[str], every: int) -> DataFrame:
     """Links (a, b) between an id whose rows have different sets, an empty one among them or not, and the least ids of those sets."""
     extremes = signed.where("doc_id is not null").groupBy("doc_id")
     extremes = extremes.agg(*(f(c).alias(f"{c}_{end}") for c in sets for end, f in (("lo", F.min), ("hi", F.max))))
     several = settled(extremes.where(" or ".join(f"{c}_lo <> {c}_hi" for c in sets)).select("doc_id"))
+    several = packed(several, every)
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     of = signed.where("n > 0").select("doc_id", *sets).join(several, "doc_id", "left_semi").distinct().join(one.select(*sets, "rep"), sets)
-    return settled(of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    return packed(settled(of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), every)
 
 
 def _mixed(shared: DataFrame, known: DataFrame) -> DataFrame:

@@ -107,3 +107,25 @@ def test_ids_with_several_texts_tie_their_sets(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(near_duplicates(frame, 3, 85)) == brute(rows, 3, 85)
     assert {r.component_id for r in near_duplicates(frame, 3, 85).where("n_shingles > 0").collect()} == {1, 3}
+
+
+def test_small_tables_between_steps_are_scanned_by_few_tasks(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: 39 - i % 3], f"x{i % 7}", f"g{i // 10}"])) for i in range(120)]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    for key, value in (("spark.sql.shuffle.partitions", "24"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        held[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-tasks", "near_duplicates")
+    try:
+        assert got(near_duplicates(docs)) == brute(rows, 5, 80)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    done = [x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x]
+    assert len(done) > 50
+    assert sum(done) < 1500, sum(done)
